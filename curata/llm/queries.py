@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import ngram_join, quality_rules, sharding, substring
+from curata.llm import ngram_join, quality_rules, sharding, substring, weak_labels
 from curata.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.near_duplicate_components(documents(spark, sf_dir), "doc_id", "text", 4, 85)
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query
+def op9_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select("doc_id", *weak_labels.OWN)
