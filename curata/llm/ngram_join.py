@@ -155,14 +155,15 @@ def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, n: int
     def send(key: tuple, table: pa.Table) -> pa.Table:
         return _send(key[0].as_py(), shingle_sets(table["text"].combine_chunks(), n)[2], n_buckets)
 
-    sent = chunked.select("__chunk", "text").groupBy("__chunk").applyInArrow(send, "bucket int, chunk int, hashes binary, counts binary")
+    texts = chunked.groupBy("__chunk")  # used twice with the same columns, so that Spark shuffles them once
+    sent = texts.applyInArrow(send, "bucket int, chunk int, hashes binary, counts binary")
     replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk int, hashes binary, counts binary")
 
     def mark(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         return pa.table(_marked(table["id"].combine_chunks(), table["text"].combine_chunks(), told, n, percent))
 
     schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("size long, node string, items array<long>, prefix array<long>, freq array<int>").fields])
-    marked = C.materialise(chunked.groupBy("__chunk").cogroup(replies.groupBy("chunk")).applyInArrow(mark, schema))
+    marked = C.materialise(texts.cogroup(replies.groupBy("chunk")).applyInArrow(mark, schema))
 
     classes = marked.where("node is not null").groupBy("node")
     nodes = C.materialise(classes.agg(F.first("size").alias("size"), F.first("items").alias("items"), F.first("prefix").alias("prefix")))
