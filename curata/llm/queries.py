@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import ngram_join, quality_rules, sharding, substring, weak_labels
+from curata.llm import fingerprints, ngram_join, quality_rules, sharding, substring, weak_labels
 from curata.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,18 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.classify(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select("doc_id", *weak_labels.OWN)
+
+
+@query
+def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprints
+    prints = f.fingerprints(documents(spark, sf_dir), "doc_id", "text")
+    return prints.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        f.shown(F.col("anchors")).alias("fingerprint"),
+        f.shown(F.col("edited_anchors")).alias("edited_fingerprint"),
+        f.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        f.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
