@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curata.llm import common as C
@@ -112,11 +111,11 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str, width: int = 13,
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in OWN.items())).fields])
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, _, h, second = _windows(table["text"].combine_chunks(), width)
+        _, _, _, h, second = _windows(table[text_col].combine_chunks(), width)
         return packed_by_bucket(key[0].as_py(), h, second, n_buckets)
 
-    texts = chunked.groupBy("__chunk")
-    sent = chunked.select("__chunk", F.col(text_col).alias("text")).groupBy("__chunk").applyInArrow(send, "bucket int, chunk int, hashes binary")
+    texts = chunked.groupBy("__chunk")  # used twice with the same columns, so that Spark shuffles them once
+    sent = texts.applyInArrow(send, "bucket int, chunk int, hashes binary")
     replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk int, hashes binary")
 
     def remove(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
