@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import fingerprints, ngram_join, quality_rules, sharding, substring, weak_labels
-from curata.llm.common import documents
+from curata.llm import fingerprints, id_files, ngram_join, packing, quality_rules, sharding, substring, weak_labels
+from curata.llm.common import documents, shared_dir
+
+#: The tokenizer files' place, a function of the file's name.
+TOKENIZER = public_tokenizers.path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +70,15 @@ def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         f.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
         f.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), "doc_id", "text", TOKENIZER("word_bpe_49k.json"), 0, 2048)
+
+
+@query
+def op5_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    id_files.write(documents(spark, sf_dir), "doc_id", "text", path, TOKENIZER("word_bpe_49k.json"), 1)
+    return id_files.read(spark, path, "doc_id")
