@@ -38,6 +38,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+NONE = 1 << 60
+
+
 class Kept:
     """A bounded memo of two generations."""
 
@@ -71,13 +74,14 @@ class Transducer:
         self.bytes_of |= {v: k.encode() for k, v in self.added.items() if v not in self.bytes_of}
         self.added_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.single = [vocab[bytes([b])] for b in range(256)]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Two ids -> the rank of their merge and the id it makes, 20 bits each.
+        self.best: dict[int, int] = {}
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (m.split(" ") if isinstance(m, str) else m))
-            self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.best.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         #: Sufficient lookahead in bytes: the longest token that the merge list can make.
-        self.lookahead = max(len(self.bytes_of[x]) for _, x in self.merge.values()) if self.merge else 1
-        made = {x for _, x in self.merge.values()} | set(self.single)
+        made = {x & 0xFFFFF for x in self.best.values()} | set(self.single)
+        self.lookahead = max(len(self.bytes_of[x]) for x in made)
         self.ending: dict[bytes, int] = {self.bytes_of[x]: x for x in made}
         self.lengths = sorted({len(b) for b in self.ending})
         self.apart: dict[tuple[int, int], bool] = {}
@@ -90,23 +94,18 @@ class Transducer:
         return cls._open[path]
 
     def merged(self, piece: bytes) -> list[int]:
-        """All merges at once, lowest rank first, for pieces within the lookahead."""
+        """All merges of bytes at hand, lowest rank first, leftmost first."""
         ids = [self.single[b] for b in piece]
-        merge, never = self.merge, (1 << 60, 0)
-        while len(ids) > 1:
-            rank, new, at = min((*merge.get((a, b), never), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
-            if rank == 1 << 60:
-                break
-            a, b = ids[at], ids[at + 1]
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        get = self.best.get
+        pairs = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != NONE:
+            i = pairs.index(best)
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(ids[i] << 20 | ids[i + 1], NONE)
+            if i:
+                pairs[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
         return ids
 
     def _apart(self, a: int, b: int) -> bool:
