@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import bpe_stream, fingerprints, id_files, ngram_join, packing, quality_rules, sharding, substring, weak_labels
+from curata.llm import bpe_stream, fingerprints, id_files, ngram_join, packing, quality_rules, sharding, substring, token_counts, weak_labels
 from curata.llm.common import documents, shared_dir
 
 #: The tokenizer files' place, a function of the file's name.
@@ -88,3 +88,9 @@ def op5_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_stream.round_trip(documents(spark, sf_dir), "doc_id", "text", TOKENIZER("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return token_counts.count_tokens(docs, "text", TOKENIZER("piece_bpe_32k.model")).drop("text")
