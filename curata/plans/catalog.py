@@ -13,7 +13,8 @@ from curata.functions import labels as L
 from curata.functions import text as T
 from curata.operators import messages as M
 from curata.operators import relational as R
-from curata.operators import reports, sampling
+from curata.operators import reports, sampling, targets
+from curata.plans import generate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -458,3 +459,55 @@ def fuzzy_keys_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_keys_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = _keys(spark, sf_dir).withColumn("key", F.when(F.col("doc_id") % 2 == 0, F.translate("key", "p", "b")).otherwise(F.col("key")))
     return K.map_keys(typed, "key", K.TOP_KEYS).select("doc_id", "key", "mapped")
+
+
+# Plans and model calls.
+
+GOOD_PLAN = (
+    '"generation_plan":{"image_role":"thumbnail","required_visual_cues":["cue a","cue b"],"optional_visual_cues":[],"forbidden_or_misleading_cues":["blood"],'
+    '"visual_strategy":"event_scene","framing":"wide view","abstractness":"literal"},"negative_prompt":"readable text, exact logos, watermark"'
+)
+GOOD_PROMPT = "flat vector editorial illustration of an event, no readable text"
+
+
+def _planner_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model output made from ids: sound, with near-miss keys, fenced, without a plan, and unparsable."""
+    d = F.col("doc_id").cast("string")
+    tu = F.concat(F.lit('"title_understanding":{"headline_core":"core '), d, F.lit('","visual_risks":"wrong likeness; gore"},'))
+    prompt = F.concat(F.lit(f',"sdxl_prompt":"{GOOD_PROMPT} '), d, F.lit('"'))
+    whole = F.concat(F.lit("{"), tu, F.lit(GOOD_PLAN), prompt, F.lit("}"))
+    kinds = [
+        whole,
+        F.replace(F.replace(whole, F.lit('"sdxl_prompt"'), F.lit('"SDXL Prompt"')), F.lit('"headline_core"'), F.lit('"headlineCore"')),
+        F.concat(F.lit("```json\n"), F.replace(whole, F.lit("event_scene"), F.lit("dream_scene")), F.lit("\n```")),
+        F.concat(F.lit("{"), tu, F.substring(prompt, F.lit(2), F.length(prompt)), F.lit("}")),
+        F.lit("no plan today"),
+    ]
+    return documents(spark, sf_dir, "lang").select("doc_id", F.element_at(F.array(*kinds), (F.col("doc_id") % 5 + 1).cast("int")).alias("raw"), F.concat(F.lit("Title "), d).alias("title"))
+
+
+@query(f"""
+SELECT doc_id, k <> 4 AS parse_ok, CASE WHEN k = 4 THEN 'Title ' || doc_id ELSE 'core ' || doc_id END AS headline, CASE WHEN k = 4 THEN ['readable text', 'exact logos', 'misleading literal scene'] ELSE ['wrong likeness', 'gore'] END AS risks,
+CASE WHEN k IN (3, 4) THEN []::VARCHAR[] ELSE ['cue a', 'cue b'] END AS cues, CASE WHEN k = 4 THEN '' ELSE '{GOOD_PROMPT} ' || doc_id END AS prompt, 'Title ' || doc_id || ': title-grounded editorial illustration' AS caption,
+CASE WHEN k = 1 THEN 2 ELSE 0 END::BIGINT AS n_fuzzy FROM (SELECT doc_id, doc_id % 5 AS k FROM documents)
+""")
+def canonical_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = targets.canonical(_planner_output(spark, sf_dir), "doc_id", "raw", "title")
+    tu, gp = "target.title_understanding", "target.generation_plan"
+    fuzzy = F.size(F.filter("notes", lambda n: n.startswith("fuzzy_key:"))).cast("bigint")
+    return t.select("doc_id", "parse_ok", F.col(f"{tu}.headline_core").alias("headline"), F.col(f"{tu}.visual_risks").alias("risks"), F.col(f"{gp}.required_visual_cues").alias("cues"), F.col("target.sdxl_prompt").alias("prompt"), F.col("target.ranking_caption").alias("caption"), fuzzy.alias("n_fuzzy"))
+
+
+@query("""
+SELECT doc_id, len(errors) = 0 AS ok, errors FROM (SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN ['invalid_visual_strategy:dream_scene'] WHEN 3 THEN ['too_few_required_visual_cues', 'empty_visual_strategy', 'empty_framing', 'empty_abstractness']
+WHEN 4 THEN ['too_few_required_visual_cues', 'empty_visual_strategy', 'empty_framing', 'empty_abstractness', 'sdxl_prompt_too_short', 'sdxl_prompt_lacks_synthetic_editorial_style'] ELSE []::VARCHAR[] END AS errors FROM documents)
+""")
+def validate_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = targets.canonical(_planner_output(spark, sf_dir), "doc_id", "raw", "title")
+    return t.select("doc_id", targets.errors().alias("errors")).select("doc_id", (F.size("errors") == 0).alias("ok"), "errors")
+
+
+@query()
+def stub_generate_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    todo = R.not_done(titles(spark, sf_dir), _done(spark, sf_dir), ["article_id", "image_id"])
+    return generate.generate(todo, generate.stub, lambda text: text.endswith("}"))
