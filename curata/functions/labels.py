@@ -77,7 +77,7 @@ def normalize_bool(x: Column, default: bool | None = None) -> Column:
 def normalize_open_list(x: Column) -> Column:
     """The non-empty parts between semicolons, or else between commas."""
     parts = F.when(F.contains(x, F.lit(";")), F.split(x, ";")).otherwise(F.split(x, ","))
-    return F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(parts, F.trim), lambda p: p != ""))
+    return F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def visible_text(x: Column, small: int = 30) -> Column:

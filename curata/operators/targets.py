@@ -14,6 +14,7 @@ from curata.functions import keys as K
 from curata.functions import text as T
 from curata.functions.jsonrepair import STRICT, parse_object
 from curata.operators.relational import codes
+from curata.operators.storage import stored
 
 #: Closed vocabularies, fill-ins, placeholders of the prompt's schema, style words and risky terms.
 STRATEGIES = ["direct_depiction", "symbolic_editorial", "location_anchor", "person_or_group_scene", "object_still_life", "document_or_data_visual", "map_or_geography", "event_scene", "conceptual_composite", "other"]
@@ -62,7 +63,7 @@ def entries(df: DataFrame, row: str, scope: str, value: Column) -> DataFrame:
 
 def mapped(lines: DataFrame, row: str, expected: list[str], scope: str) -> DataFrame:
     """row, fields (map of expected key to value), notes: the first non-empty value of each key, with what was changed."""
-    named = K.map_keys(lines, "key", expected)
+    named = stored(K.map_keys(stored(lines), "key", expected))
     full = T.clean_text(F.col("value")) != ""
     kept = named.where("mapped is not null").groupBy(row, "mapped").agg(
         F.coalesce(F.min_by(F.when(full, F.col("value")), F.when(full, F.col("pos"))), F.max_by("value", "pos")).alias("value"),
@@ -81,12 +82,12 @@ def canonical(df: DataFrame, row: str, raw: str, title: str) -> DataFrame:
 
     Output that can't be parsed gives an empty plan with the fills that any plan gets; nulls count as empty.
     """
-    parsed = df.select(row, F.col(title).alias("title"), parse_object(F.coalesce(raw, F.lit("")))["object"].alias("object"))
-    top = mapped(parsed.select(row, F.posexplode("object").alias("pos", "key", "value")).withColumn("scope", F.lit("top")), row, K.TOP_KEYS, "top")
+    parsed = stored(df.select(row, F.col(title).alias("title"), parse_object(F.coalesce(raw, F.lit("")))["object"].alias("object")))
+    top = stored(mapped(parsed.select(row, F.posexplode("object").alias("pos", "key", "value")).withColumn("scope", F.lit("top")), row, K.TOP_KEYS, "top"))
     parts = {}
     for key, fields in (("title_understanding", TU), ("generation_plan", GP)):
         lines = entries(top, row, key, F.try_element_at("fields", F.lit(key)))
-        parts[key] = mapped(lines, row, list(fields), key).select(row, F.col("fields").alias(key), F.col("notes").alias(f"{key}_notes"))
+        parts[key] = stored(mapped(lines, row, list(fields), key).select(row, F.col("fields").alias(key), F.col("notes").alias(f"{key}_notes")))
     full = parsed.select(row, "title", F.col("object").isNotNull().alias("parse_ok")).join(top, row, "left")
     for key, part in parts.items():
         full = full.join(part, row, "left")
@@ -121,44 +122,51 @@ def canonical(df: DataFrame, row: str, raw: str, title: str) -> DataFrame:
     return full.select(row, "title", "parse_ok", target.alias("target"), F.concat(none(F.col("notes")), *(none(F.col(f"{k}_notes")) for k in parts), made).alias("notes"))
 
 
-def _copied(x: Column) -> Column:
-    """Whether the text holds a placeholder of the schema."""
-    low = T.for_similarity(x)
-    out = F.lit(False)
-    for p in PLACEHOLDERS:
-        out |= F.contains(low, T.for_similarity(F.lit(p)))
-    return out
+def _copied(low: Column) -> Column:
+    """Whether a text, in its form for similarity, holds a placeholder of the schema."""
+    known = [" ".join(p.lower().replace("-", " ").replace("_", " ").split()) for p in PLACEHOLDERS]
+    return F.exists(F.array(*map(F.lit, known)), lambda p: F.contains(low, p))
 
 
-def errors(target: str = "target") -> Column:
+def errors(target: Column) -> Column:
     """Codes of what makes a plan unusable, in a fixed order."""
-    gp, tu = (lambda k: F.col(f"{target}.generation_plan.{k}")), (lambda k: F.col(f"{target}.title_understanding.{k}"))
-    pos, neg, cap = (T.clean_text(F.col(f"{target}.{k}")) for k in ("sdxl_prompt", "negative_prompt", "ranking_caption"))
-    low = F.lower(pos)
-    styled = F.lit(False)
-    for w in STYLE_WORDS:
-        styled |= F.contains(low, F.lit(w))
-    out: list[tuple[str | Column, Column]] = [
-        ("empty_headline_core", T.clean_text(tu("headline_core")) == ""),
-        ("title_understanding_looks_like_schema_copy", _copied(F.to_json(f"{target}.title_understanding"))),
-        ("too_few_required_visual_cues", F.size(gp("required_visual_cues")) < 2),
-        *((f"empty_{k}", T.clean_text(gp(k)) == "") for k in ("visual_strategy", "framing", "abstractness")),
-        ("generation_plan_looks_like_schema_copy", _copied(F.to_json(f"{target}.generation_plan"))),
-    ]
-    for k, allowed in (("visual_strategy", STRATEGIES), ("abstractness", ABSTRACTNESS)):
-        out.append((F.concat(F.lit(f"invalid_{k}:"), T.clean_text(gp(k))), (T.clean_text(gp(k)) != "") & ~T.clean_text(gp(k)).isin(allowed)))
-    out += [("sdxl_prompt_too_short", F.length(pos) < 40), ("negative_prompt_too_short", F.length(neg) < 10), ("missing_ranking_caption", cap == "")]
-    out += [(f"{k}_looks_like_schema_copy", _copied(x)) for k, x in (("sdxl_prompt", pos), ("ranking_caption", cap))]
-    out += [(f"{k}_bad_repetition", T.has_bad_repetition(x)) for k, x in (("sdxl_prompt", pos), ("negative_prompt", neg), ("ranking_caption", cap))]
-    out.append(("sdxl_prompt_lacks_synthetic_editorial_style", ~styled))
-    out += [(f"risky_positive_prompt_term:{t}", F.contains(low, F.lit(t)) & ~T.is_negated(low, t)) for t in RISKY]
-    return codes(out)
-
-
-def warnings(target: str = "target") -> Column:
-    neg = F.lower(T.clean_text(F.col(f"{target}.negative_prompt")))
-    many = F.size(F.col(f"{target}.generation_plan.required_visual_cues")) > 6
-    return codes([("too_many_required_visual_cues", many), *((f"negative_prompt_missing_common_risk:{t}", ~F.contains(neg, F.lit(t))) for t in ("readable text", "exact logos", "watermark"))])
+
+    def of(t: Column) -> Column:
+        gp, tu = t["generation_plan"], t["title_understanding"]
+        texts = {k: T.clean_text(t[k]) for k in ("sdxl_prompt", "negative_prompt", "ranking_caption")} | {k: T.clean_text(gp[k]) for k in ("visual_strategy", "framing", "abstractness")}
+        copies = {k: T.for_similarity(x) for k, x in (("tu", F.to_json(tu)), ("gp", F.to_json(gp)), ("pos", t["sdxl_prompt"]), ("cap", t["ranking_caption"]))}
+        values = F.struct(*(x.alias(k) for k, x in (texts | copies).items()), F.lower(texts["sdxl_prompt"]).alias("low"), (T.clean_text(tu["headline_core"]) == "").alias("headless"), F.size(gp["required_visual_cues"]).alias("cues"))
+        return T.let(values, found)
+
+    def found(v: Column) -> Column:
+        low = v["low"]
+        styled = F.exists(F.array(*map(F.lit, STYLE_WORDS)), lambda w: F.contains(low, w))
+        out: list[tuple[str | Column, Column]] = [
+            ("empty_headline_core", v["headless"]),
+            ("title_understanding_looks_like_schema_copy", _copied(v["tu"])),
+            ("too_few_required_visual_cues", v["cues"] < 2),
+            *((f"empty_{k}", v[k] == "") for k in ("visual_strategy", "framing", "abstractness")),
+            ("generation_plan_looks_like_schema_copy", _copied(v["gp"])),
+            *((F.concat(F.lit(f"invalid_{k}:"), v[k]), (v[k] != "") & ~v[k].isin(allowed)) for k, allowed in (("visual_strategy", STRATEGIES), ("abstractness", ABSTRACTNESS))),
+            ("sdxl_prompt_too_short", F.length(v["sdxl_prompt"]) < 40),
+            ("negative_prompt_too_short", F.length(v["negative_prompt"]) < 10),
+            ("missing_ranking_caption", v["ranking_caption"] == ""),
+            ("sdxl_prompt_looks_like_schema_copy", _copied(v["pos"])),
+            ("ranking_caption_looks_like_schema_copy", _copied(v["cap"])),
+            *((f"{k}_bad_repetition", T.has_bad_repetition(v[k])) for k in ("sdxl_prompt", "negative_prompt", "ranking_caption")),
+            ("sdxl_prompt_lacks_synthetic_editorial_style", ~styled),
+            *((f"risky_positive_prompt_term:{t}", F.contains(low, F.lit(t)) & ~T.is_negated(low, t)) for t in RISKY),
+        ]
+        return codes(out)
+
+    return T.let(target, of)
+
+
+def warnings(target: Column) -> Column:
+    return T.let(
+        F.struct(F.lower(T.clean_text(target["negative_prompt"])).alias("neg"), F.size(target["generation_plan"]["required_visual_cues"]).alias("cues")),
+        lambda v: codes([("too_many_required_visual_cues", v["cues"] > 6), *((f"negative_prompt_missing_common_risk:{t}", ~F.contains(v["neg"], F.lit(t))) for t in ("readable text", "exact logos", "watermark"))]),
+    )
 
 
 def is_heavy(notes: Column, most_fuzzy: int = 4) -> Column:

@@ -504,7 +504,7 @@ WHEN 4 THEN ['too_few_required_visual_cues', 'empty_visual_strategy', 'empty_fra
 """)
 def validate_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = targets.canonical(_planner_output(spark, sf_dir), "doc_id", "raw", "title")
-    return t.select("doc_id", targets.errors().alias("errors")).select("doc_id", (F.size("errors") == 0).alias("ok"), "errors")
+    return t.select("doc_id", targets.errors(F.col("target")).alias("errors")).select("doc_id", (F.size("errors") == 0).alias("ok"), "errors")
 
 
 @query()

@@ -57,7 +57,7 @@ def test_json(value, raw, want):
 
 def test_keys(spark, value):
     top = K.TOP_KEYS
-    assert value(K.exact_key(F.lit("visualPlan"), top), K.exact_key(F.lit("caption"), top), K.exact_key(F.lit("x"), top), K.partial_key(F.lit("title understand"), top), K.partial_key(F.lit("prompt"), top)) == ["generation_plan", "ranking_caption", None, "title_understanding", None]
+    assert value(K.exact_key(F.lit("visualPlan"), top), K.exact_key(F.lit("caption"), top), K.exact_key(F.lit("x"), top), K.partial_key(F.lit("title understand"), top), K.partial_key(F.lit("prompt"), top)) == ["generation_plan", "ranking_caption", None, "title_understanding", "sdxl_prompt"]
     assert K.close_key("negatve promt", top) == "negative_prompt" and K.close_key("weather", top) is None
     df = spark.createDataFrame([("negatve promt",), ("caption",), ("weather",), (None,)], "key string")
     assert {r.key: r.mapped for r in K.map_keys(df, "key", top).collect()} == {"negatve promt": "negative_prompt", "caption": "ranking_caption", "weather": None, None: None}
