@@ -25,10 +25,14 @@ from curata.llm import common as C
 from curata.llm.components import components
 
 BASE, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Nodes that hold an element, above which it is indexed as pairs in the completion step.
-FREQUENT = 64
-#: Pivots tried for each element.
+#: Nodes that hold an element, above which it is indexed as pairs in the completion step. A pair index has the square of
+#: a prefix's entries, and meets two sets once for each two elements they share, so it pays for very frequent ones alone.
+FREQUENT = 4096
+#: Pivots tried for each element: the node with the fewest elements of its own, as an original among its edited copies
+#: has, and others by hash.
 PIVOTS = 3
+#: 64-bit words of a set's parities: 512 classes of elements.
+PARITIES = 8
 
 
 def shingle_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,24 +54,25 @@ def shingle_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return sizes, np.concatenate([[0], np.cumsum(sizes)]), rolled
 
 
-def _send(chunk: int, hashes: np.ndarray, n_buckets: int) -> pa.Table:
-    """The distinct hashes of a chunk with the number of its documents that hold each, at most 255, by bucket."""
-    u, c = np.unique(hashes, return_counts=True)
-    b = ((u * np.uint64(SECOND)) >> np.uint64(33)) % np.uint64(n_buckets)
-    by = np.argsort(b, kind="stable")
-    u, c, b = u[by], np.minimum(c[by], 255).astype(np.uint8), b[by]
+def _send(chunk: int, hashes: np.ndarray, bits: int, n_buckets: int) -> pa.Table:
+    """The distinct hashes of a chunk, cut to their high bits, with the number of its documents that hold each, at most
+    255; a row for each bucket, a range of hashes."""
+    u, c = np.unique(hashes >> np.uint64(64 - bits), return_counts=True)
+    c = np.minimum(c, 255).astype(np.uint8)
+    b = u // np.uint64(-(-(1 << bits) // n_buckets))
     which, starts = np.unique(b, return_index=True)
     ends = np.append(starts[1:], len(u))
+    u = u - which.repeat(ends - starts) * np.uint64(-(-(1 << bits) // n_buckets))
     spans = list(zip(starts, ends, strict=True))
     return pa.table(
         {"bucket": pa.array(which.astype(np.int32)), "chunk": pa.array(np.full(len(which), chunk, np.int32)), "hashes": pa.array([C.pack(u[s:e]) for s, e in spans], pa.binary()), "counts": pa.array([c[s:e].tobytes() for s, e in spans], pa.binary())},
     )
 
 
-def _reply(key: tuple, table: pa.Table) -> pa.Table:
-    """To each chunk, those of its hashes that two or more documents hold, and in how many (at most 65535)."""
+def _reply(base: int, table: pa.Table) -> pa.Table:
+    """To each chunk, those of its cut hashes that two or more documents hold, and in how many (at most 65535)."""
     chunks, parts = table["chunk"].to_pylist(), [C.unpack(x) for x in table["hashes"].to_pylist()]
-    h = np.concatenate(parts)
+    h = np.concatenate(parts) + np.uint64(base)
     n = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).astype(np.int64)
     u, back = np.unique(h, return_inverse=True)
     df = np.minimum(np.bincount(back, weights=n), 65535).astype(np.uint16)[back]
@@ -79,8 +84,9 @@ def _reply(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "hashes": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
 
 
-def _marked(ids: pa.Array, text: pa.Array, told: pa.Table, n: int, percent: int) -> dict:
-    """Each document's set size and, if it can link at all, its node name, its set and its prefix."""
+def _marked(ids: pa.Array, text: pa.Array, told: pa.Table, n: int, percent: int, bits: int) -> dict:
+    """Each document's set size and, if it can link at all, its node name, its set, the number of its elements that other
+    documents may hold, its parities (for each class of elements, whether it has an odd number) and its prefix."""
     sizes, offsets, hashes = shingle_sets(text, n)
     known = np.concatenate([np.zeros(0, np.uint64), *(C.unpack(x) for x in told["hashes"].to_pylist())])
     counts = np.frombuffer(b"".join(told["counts"].to_pylist()), np.uint16)
@@ -88,21 +94,25 @@ def _marked(ids: pa.Array, text: pa.Array, told: pa.Table, n: int, percent: int)
     known, counts = known[by], counts[by]
     df = np.ones(len(hashes), np.int64)
     if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        df = np.where(known[at] == hashes, counts[at], 1).astype(np.int64)
+        cut = hashes >> np.uint64(64 - bits)
+        at = np.minimum(np.searchsorted(known, cut), len(known) - 1)
+        df = np.where(known[at] == cut, counts[at], 1).astype(np.int64)
     shared = np.concatenate([[0], np.cumsum(df > 1)])
     shared = shared[offsets[1:]] - shared[offsets[:-1]]
     need = -(-percent * sizes // 100)
     rows = len(sizes)
-    node, sets, prefixes, freqs = [None] * rows, [None] * rows, [None] * rows, [None] * rows
+    node, sets, parities, prefixes = [None] * rows, [None] * rows, [None] * rows, [None] * rows
     for i in np.flatnonzero((sizes > 0) & (shared >= need)):
         x, d = hashes[offsets[i] : offsets[i + 1]], df[offsets[i] : offsets[i + 1]]
         node[i] = xxhash.xxh3_128_hexdigest(x.tobytes())
         sets[i] = x.view(np.int64)
         order = np.lexsort((x, d))[: sizes[i] - need[i] + 2]
         order = order[d[order] > 1]
-        prefixes[i], freqs[i] = x[order].view(np.int64), d[order].astype(np.int32)
-    return {"id": ids, "size": pa.array(sizes), "node": pa.array(node, pa.string()), "items": pa.array(sets, pa.list_(pa.int64())), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "freq": pa.array(freqs, pa.list_(pa.int32()))}
+        prefixes[i] = x[order].view(np.int64)
+        odd = np.bincount(((x * np.uint64(SECOND)) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITIES) & 1
+        parities[i] = np.packbits(odd).view(np.int64)
+    longs = pa.list_(pa.int64())
+    return {"id": ids, "size": pa.array(sizes), "node": pa.array(node, pa.string()), "shared": pa.array(shared), "items": pa.array(sets, longs), "parities": pa.array(parities, longs), "prefix": pa.array(prefixes, longs)}
 
 
 def _alike(percent: int) -> Column:
@@ -115,6 +125,14 @@ def _close(percent: int) -> Column:
     return 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
 
 
+def _may_link(percent: int) -> Column:
+    """What a link needs: enough elements that others hold, and parities that differ in no more places than the sets may."""
+    both = F.least("shared", "other_shared")
+    apart = sum((F.bit_count(F.get("parities", F.lit(k)).bitwiseXOR(F.get("other_parities", F.lit(k)))) for k in range(PARITIES)), F.lit(0))
+    sizes = F.col("size") + F.col("other_size")
+    return (100 * both >= percent * (sizes - both)) & ((100 + percent) * apart <= (100 - percent) * sizes)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (node, other) whose sets are alike enough, as edges."""
     sets = nodes.select("node", "size", "items")
@@ -127,14 +145,16 @@ def _labelled(df: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs of nodes of one key in different components: those outside the key's largest component meet all of the key."""
+    """Pairs of nodes of one key in different components that may link: those outside the key's largest component meet
+    all of the key."""
     per = rows.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("n"))
     top = per.groupBy(*keys).agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("n_comps")).where("n_comps > 1").select(*keys, F.col("top.comp").alias("top"))
     rows = rows.join(top, keys)
-    few = rows.where("comp <> top").select(*keys, "node", "size", "comp")
-    many = rows.select(*keys, F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"), "top")
-    cond = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("top")) | (F.col("node") < F.col("other"))) & _close(percent)
-    return few.join(many, keys).where(cond)
+    own = ["node", "size", "comp", "shared", "parities"]
+    few = rows.where("comp <> top").select(*keys, *own)
+    many = rows.select(*keys, *(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in own), "top")
+    cond = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("top")) | (F.col("node") < F.col("other"))) & _close(percent) & _may_link(percent)
+    return few.join(many, keys).where(cond).select("node", "other")
 
 
 def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80, chunk_chars: int = C.CHUNK_CHARS) -> DataFrame:
@@ -150,44 +170,54 @@ def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, n: int
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bounds = C.chunk_bounds(docs, "id", "text", chunk_chars)
     n_buckets = max(2 * C.partitions(spark), (len(bounds) + 1) * chunk_chars // 6 // 4_000_000)
+    # Hashes cut to these bits only ever count too many documents, for one element in a thousand or less.
+    bits = min(64, max(32, ((len(bounds) + 1) * chunk_chars).bit_length() + 8))
     chunked = C.with_chunk(docs, "id", bounds)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        return _send(key[0].as_py(), shingle_sets(table["text"].combine_chunks(), n)[2], n_buckets)
+        return _send(key[0].as_py(), shingle_sets(table["text"].combine_chunks(), n)[2], bits, n_buckets)
+
+    def reply(key: tuple, table: pa.Table) -> pa.Table:
+        return _reply(key[0].as_py() * -(-(1 << bits) // n_buckets), table)
 
     texts = chunked.groupBy("__chunk")  # used twice with the same columns, so that Spark shuffles them once
     sent = texts.applyInArrow(send, "bucket int, chunk int, hashes binary, counts binary")
-    replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk int, hashes binary, counts binary")
+    replies = sent.groupBy("bucket").applyInArrow(reply, "chunk int, hashes binary, counts binary")
 
     def mark(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        return pa.table(_marked(table["id"].combine_chunks(), table["text"].combine_chunks(), told, n, percent))
+        return pa.table(_marked(table["id"].combine_chunks(), table["text"].combine_chunks(), told, n, percent, bits))
 
-    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("size long, node string, items array<long>, prefix array<long>, freq array<int>").fields])
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("size long, node string, shared long, items array<long>, parities array<long>, prefix array<long>").fields])
     marked = C.materialise(texts.cogroup(replies.groupBy("chunk")).applyInArrow(mark, schema))
 
-    classes = marked.where("node is not null").groupBy("node")
-    nodes = C.materialise(classes.agg(F.first("size").alias("size"), F.first("items").alias("items"), F.first("prefix").alias("prefix")))
-    index = nodes.select("node", "size", F.explode("prefix").alias("item"))
+    classes = marked.where("node is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "shared", "items", "parities", "prefix")))
+    named = C.materialise(classes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()))
+    nodes = named.drop("name")
+    index = nodes.select("node", "size", (F.col("size") - F.col("shared")).alias("own"), F.explode("prefix").alias("item"))
 
     # Stars.
-    pivots = index.groupBy("item").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "size")).alias(f"p{k}") for k in range(PIVOTS)), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pivots = index.groupBy("item").agg(*(F.min(F.struct((F.lit(0) if k else F.col("own")).cast("long").alias("own"), F.xxhash64(F.lit(k), "node").alias("h"), "node", "size")).alias(f"p{k}") for k in range(PIVOTS)), F.count(F.lit(1)).alias("n")).where("n > 1")
     options = pivots.select("item", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p")).select("item", F.col("p.node").alias("other"), F.col("p.size").alias("other_size"))
-    star = index.join(options, "item").where((F.col("node") != F.col("other")) & _close(percent))
+    star = index.drop("own").join(options, "item").where((F.col("node") != F.col("other")) & _close(percent))
     edges = C.materialise(_verified(star.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")), nodes, percent))
     roots = components(edges)
 
     # Completion.
-    rows = _labelled(index, roots)
+    rows = _labelled(index.select("node", "item"), roots)
     spread = rows.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo <> hi").select("item", (F.col("holders") > FREQUENT).alias("frequent"))
-    rows = C.materialise(rows.join(spread, "item"))
-    rare = _across(rows.where("not frequent"), ["item"], percent).select("node", "other")
-    frequent = rows.where("frequent").groupBy("node", "size", "comp").agg(F.array_sort(F.collect_list("item")).alias("its"))  # no longer than a prefix
-    left = frequent.select("*", F.posexplode("its").alias("i", "item")).select("node", "size", "comp", "item", F.explode(F.expr("slice(its, i + 2, size(its))")).alias("second"))
-    pairs = rare.unionAll(_across(left, ["item", "second"], percent).select("node", "other"))
+    # Back to a row a node: its elements, no more than a prefix, that lie in several components.
+    mine = rows.join(spread, "item").groupBy("node", "comp").agg(*(F.collect_list(F.when(c, F.col("item"))).alias(k) for k, c in (("rare", ~F.col("frequent")), ("often", F.col("frequent")))))
+    open_ = C.materialise(mine.join(nodes.select("node", "size", "shared", "parities"), "node"))
+    own = ["node", "comp", "size", "shared", "parities"]
+    rare = _across(open_.select(*own, F.explode("rare").alias("item")), ["item"], percent)
+    often = open_.select(*own, F.array_sort("often").alias("its"))
+    left = often.select(*own, "its", F.posexplode("its").alias("i", "item")).select(*own, "item", F.explode(F.expr("slice(its, i + 2, size(its))")).alias("second"))
+    pairs = rare.unionAll(_across(left, ["item", "second"], percent))
     more = C.materialise(_verified(pairs, nodes, percent))
     if more.limit(1).count():
         roots = components(edges.unionAll(more))
 
-    member = _labelled(marked.select("id", "size", "node"), roots)
+    own_node = named.select(F.col("name").alias("node"), F.col("node").alias("nid"))
+    member = _labelled(marked.select("id", "size", "node").join(own_node, "node", "left").select("id", "size", F.col("nid").alias("node")), roots)
     least = member.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
     return member.join(least, "comp", "left").select(F.col("id").alias(id_col), "size", F.coalesce("least", "id").alias("component"))
