@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int | str, most_bytes: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about most_bytes of text, a longer text alone, so that work arrays stay small."""
+    for batch in batches:
+        at = column if isinstance(column, int) else batch.schema.get_field_index(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            so_far = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, so_far + most_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def split_words(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words [^\\x20\\x09-\\x0D]+ of each text: offsets (n + 1) into the flat words. A null text has none."""
     if isinstance(text, pa.ChunkedArray):

@@ -69,7 +69,7 @@ def votes(text: pa.Array) -> np.ndarray:
     first = np.append(True, last[:-1]) if len(data) else last
 
     def count(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
     is_in = lambda x, chars: np.isin(np.arange(256), list(chars.encode()))[x]
@@ -216,7 +216,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
     spark = df.sparkSession
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.small_batches(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array(_patterns(votes(batch.column(0))), pa.string())], names=["votes"])
 
     counted = df.select(F.col(text_col).alias("text")).mapInArrow(vote, "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
@@ -229,7 +229,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2 ^ BITS weights
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.small_batches(batches, text_col):
             text = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "")
             s = np.where(np.diff(C.split_words(text)[0]) > 0, score(text, shared.value), 0.0)
             own = [pa.array(s), pa.array(s >= cutoff)]
