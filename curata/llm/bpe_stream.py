@@ -270,7 +270,7 @@ def round_trip(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> Da
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Transducer.of(vocabulary)
-        for batch in batches:
+        for batch in C.small_batches(batches, 1):
             ids, tokens, decoded = [], [], []
             for parts, raw, sizes in encode_texts(bpe, batch.column(1)):
                 machine = Decoder(bpe.bytes_of)

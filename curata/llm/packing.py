@@ -102,7 +102,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
-        for batch in batches:
+        for batch in C.small_batches(batches, 1, 8_000_000):
             offsets, ids = encoder.encode(batch.column(1))
             n = np.diff(offsets)
             doc, piece, start, length, crc, own = [], [], [], [], [], []
