@@ -24,7 +24,7 @@ from curata.llm.quality_rules import measure
 
 LABELLERS = ("symbols", "shouting", "repeats", "lines", "table_cells", "sentences", "length", "letters", "plain_words", "stutter", "variety")
 ABSTAIN, BAD, GOOD = 0, 1, 2
-#: Documents of which the scorer's training takes its sample, those with the least hashes of their ids.
+#: About how many documents train the scorer: those with the least hashes.
 SAMPLE = 2_000
 BITS = 16
 OWN = {"score": "double", "kept": "boolean"}
@@ -208,7 +208,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
     """Adds score (0 to 1) and kept (score >= cutoff).
 
     The labellers vote and the scorer scores on every whole text; vote patterns are counted over all rows. The scorer is
-    fitted on at most `sample` rows, those with the least hashes of (id, text). Null and empty texts have no words and
+    fitted on about `sample` rows, those with the least hashes of (id, text), and never on more than twice as many. Null and empty texts have no words and
     score 0; equal texts score alike; an empty table gives an empty result. Input columns named like
     the added ones are replaced.
     """
@@ -223,7 +223,10 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
     counts = dict(counted.collect())  # at most 3 ^ len(LABELLERS) rows, far fewer in any corpus
     model = expectation_maximisation(counts)
     posterior = {p: model.posterior(p) for p in counts}
-    top = df.select(text_col, F.xxhash64(id_col, text_col).alias("__h")).where(F.length(text_col) > 0).orderBy("__h").limit(sample).toArrow()
+    # Hashes are uniform, so a bound on them takes about `sample` rows wherever they lie; no task sees more than these.
+    bound = -(2**63) + int(2**64 * min(1.0, sample / max(sum(counts.values()), 1)))
+    some = df.select(text_col, F.xxhash64(id_col, text_col).alias("__h")).where((F.length(text_col) > 0) & (F.col("__h") <= min(bound, 2**63 - 1)))
+    top = some.orderBy("__h").limit(2 * sample).toArrow()
     texts = top[text_col].combine_chunks()
     weights = np.zeros((1 << BITS) + 1) if not len(texts) else train_scorer(texts, np.array([posterior.get(p, 0.5) for p in _patterns(votes(texts))]))
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2 ^ BITS weights
