@@ -28,7 +28,7 @@ from curata.llm import common as C
 #: Fixed value: how this family of vocabularies parts a text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words and pieces kept by one Python worker, in two generations of half as many.
-KEPT = 900_000
+KEPT = 1_400_000
 
 
 def byte_letters() -> dict[str, int]:
