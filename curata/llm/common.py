@@ -137,11 +137,12 @@ def unpack(blob: bytes) -> np.ndarray:
 CHUNK_CHARS = 4_000_000
 
 
-def chunk_bounds(df: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS) -> np.ndarray:
-    """Ids that part the documents into ranges of about chunk_chars characters: two passes, no shuffle of texts."""
+def chunk_bounds(df: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, least: int | None = None) -> np.ndarray:
+    """Ids that part the documents into ranges of about chunk_chars characters, by default at least two a partition: two
+    passes, no shuffle of texts."""
     spark = df.sparkSession
     chars, rows = df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)), F.count(F.lit(1))).first()
-    n = min(max(chars // chunk_chars, 2 * partitions(spark)), max(rows // 8, 1))
+    n = min(max(chars // chunk_chars, least or 2 * partitions(spark)), max(rows // 8, 1))
     if n < 2:
         return np.zeros(0, np.int64)
     shares = [i / n for i in range(1, n)]

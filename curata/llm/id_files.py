@@ -226,7 +226,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, tokenizer: str,
     text are read. An empty table gives files without chunks.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunked = C.with_chunk(docs, "id", C.chunk_bounds(docs, "id", "text", chunk_chars))
+    chunked = C.with_chunk(docs, "id", C.chunk_bounds(docs, "id", "text", chunk_chars, df.sparkSession.sparkContext.defaultParallelism))
     kind = docs.schema["id"].dataType.simpleString()
 
     def encode(key: tuple, table: pa.Table) -> pa.Table:
