@@ -22,8 +22,8 @@ from curata.llm import common as C
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
-#: Rate -> the floor of its limit: keeps groups whose rates are nearly all 0 from rejecting ordinary documents.
-RATES = {"symbols_per_word": 0.25, "dup_line_words": 0.30, "repeat_share": 0.20, "chars_per_word": 16.0}
+#: Rate -> the least spread between its quartiles: slack for groups whose quartiles are equal, as where nearly all rates are 0.
+RATES = {"symbols_per_word": 0.01, "dup_line_words": 0.01, "chars_per_word": 0.25}
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Rows in a group, below which its language's merged sketch is used, then that of all rows.
@@ -82,7 +82,7 @@ def with_metrics(df: DataFrame, text_col: str) -> DataFrame:
 def rates() -> dict[str, Column]:
     """What the thresholds bound; 0 without words."""
     share = lambda x: F.when(F.col("n_words") > 0, F.col(x) / F.col("n_words")).otherwise(0.0)
-    return {"symbols_per_word": share("n_symbols"), "dup_line_words": share("n_dup_lines"), "repeat_share": share("n_repeat_words"), "chars_per_word": share("word_chars")}
+    return {"symbols_per_word": share("n_symbols"), "dup_line_words": share("n_dup_lines"), "chars_per_word": share("word_chars")}
 
 
 def sketch(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -106,15 +106,15 @@ def quantiles(sketches: DataFrame, groups: list[str], shares: dict[str, float])
 
 
 def thresholds(df: DataFrame, groups: list[str]) -> DataFrame:
-    """The limit of each rate in each group: median + 4 * (75 % quantile - median), at least the rate's floor and at most
-    three times it or twice the median, so that a group of which a quarter is junk still rejects its junk.
+    """The limit of each rate in each group: Tukey's far fence, high + 3 * (high - low) of the sketch's quartiles, with at
+    least the rate's slack between these. Junk that is less than a quarter of a group doesn't move its limit.
 
     Groups of fewer than LEAST_ROWS rows take the limit of the sketch merged over all groups with the same first column.
     """
     own = sketch(df, groups)
-    shares = {"mid": 0.5, "high": 0.75}
-    floor = F.create_map(*(x for k, v in RATES.items() for x in (F.lit(k), F.lit(v))))[F.col("rate")]
-    limit = F.least(F.greatest(floor, F.col("mid") + 4 * (F.col("high") - F.col("mid"))), F.greatest(3 * floor, 2 * F.col("mid")))
+    shares = {"low": 0.25, "high": 0.75}
+    slack = F.create_map(*(x for k, v in RATES.items() for x in (F.lit(k), F.lit(v))))[F.col("rate")]
+    limit = F.col("high") + 3 * F.greatest(slack, F.col("high") - F.col("low"))
     fine = quantiles(own, groups, shares).withColumn("limit", limit).select(*groups, "rate", "n", "limit")
     coarse = quantiles(merge(own, groups[:1]), groups[:1], shares).withColumn("limit", limit).select(F.col(groups[0]).alias("__g"), F.col("rate").alias("__rate"), F.col("limit").alias("__wide"))
     both = fine.join(coarse, F.col(groups[0]).eqNullSafe(F.col("__g")) & (F.col("rate") == F.col("__rate")))

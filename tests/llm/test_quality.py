@@ -60,6 +60,22 @@ def test_rules(spark):
     assert Q.apply_rules(df.limit(0), "text").count() == 0
 
 
+def test_limits_come_from_each_group(spark):
+    """A rate that is usual in one group is an outlier in another; no fixed cutoff parts them."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text = lambda marks, n=5: " ".join(word(n + rng.randrange(-1, 2)) + "#" * (k < marks) for k in range(60))
+    code = [(i, text(rng.randrange(15, 31)), "en", "code") for i in range(300)]
+    prose = [(1000 + i, text(0), "en", "prose") for i in range(300)]
+    odd = [(2000, text(12), "en", "prose"), (2001, text(12), "en", "code"), (2002, text(0, 9), "en", "prose")]
+    df = spark.createDataFrame(code + prose + odd, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in Q.apply_rules(df, "text").collect()}
+    assert all(got[i] for i, *_ in code + prose)
+    assert not got[2000] and got[2001] and not got[2002]
+    limits = {r.source: r for r in Q.thresholds(Q.with_metrics(df, "text"), ["lang", "source"]).collect()}
+    assert limits["code"].symbols_per_word > 5 * limits["prose"].symbols_per_word
+
+
 def test_label_model_finds_accuracies():
     rng = random.Random(4)
     accuracy = [0.95, 0.9, 0.8, 0.75, 0.6]
