@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from curata.llm.common import ASCII_SPACE, partitions
 
 WIDTH, INNER = 5, 2
-#: Anchors in a fingerprint: all of them up to this number, else those with the least hashes, a uniform sample for Jaccard.
-SKETCH = 256
 #: Characters of a block of documents that lie together in id order.
 BLOCK_CHARS = 8_000_000
 
@@ -49,8 +47,8 @@ def anchors(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """The sketch of a text's anchors."""
-    return F.slice(anchors(text), 1, SKETCH)
+    """All anchors of a text, however long it is."""
+    return anchors(text)
 
 
 def shown(print_: Column) -> Column:
@@ -59,12 +57,10 @@ def shown(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of two fingerprints' anchors, exact where both hold all anchors; two empty ones are alike."""
+    """Jaccard likeness of two fingerprints' anchors, wherever these stand, exact over all of them; two empty ones are alike."""
     x, y = F.transform(a, lambda e: e["hash"]), F.transform(b, lambda e: e["hash"])
-    # Among the least SKETCH hashes of the union, the share that both hold.
-    union = F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH)
-    both = _let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u))
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both)
+    share = _let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(a) + F.size(b) - both))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(share)
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:

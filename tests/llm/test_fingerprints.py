@@ -38,5 +38,20 @@ def test_closed_syncmers_by_brute_force(spark):
     assert got[1] == 1.0 and got[3] == 0.0 and got[5] == 0.0 and abs(got[2] - len(x & y) / len(x | y)) < 0.15
 
 
+def test_long_texts_keep_all_anchors(spark):
+    words = [f"w{k}" for k in range(4000)]
+    other = [w if k % 1000 else "changed" for k, w in enumerate(words)]
+    passage = [f"o{k}" for k in range(3000)] + words[2000:2050] + [f"o{k}" for k in range(3000, 6000)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, other, passage))], "doc_id long, text string")
+    prints = df.select("doc_id", f.anchors(F.col("text")).alias("all"), f.fingerprint(F.col("text")).alias("p"))
+    out = {r.doc_id: r for r in prints.collect()}
+    assert all(r.p == r.all and len(r.p) > 1000 for r in out.values())
+    pairs = prints.alias("x").crossJoin(prints.where("doc_id = 0").select(F.col("p").alias("o")))
+    got = {r.doc_id: r.s for r in pairs.select("doc_id", f.likeness(F.col("p"), F.col("o")).alias("s")).collect()}
+    h = {k: {e["hash"] for e in r.p} for k, r in out.items()}
+    assert got == {k: len(x & h[0]) / len(x | h[0]) for k, x in h.items()}
+    assert 0.9 < got[1] < 1.0 and 0.0 < got[2] < 0.05
+
+
 def test_empty_table(spark):
     assert f.fingerprints(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
