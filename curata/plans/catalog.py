@@ -169,13 +169,13 @@ def list_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT article_id, 'non-photorealistic editorial illustration, about ' || article_title || ', ' || CASE WHEN image_id = '5' THEN image_id ELSE image_id || ', Cue 5' END
-       || ', symbolic editorial visual strategy, wide view, no watermark' AS prompt FROM (SELECT article_id, article_title, 'cue ' || image_id AS image_id FROM {TITLES} WHERE image_id <> '5')
+SELECT article_id, 'non-photorealistic editorial illustration, about ' || article_title || ', ' || CASE WHEN image_id = 'cue 5' THEN image_id ELSE image_id || ', Cue 5' END
+       || ', symbolic editorial visual strategy, wide view, no watermark' AS prompt FROM (SELECT article_id, article_title, 'cue ' || image_id AS image_id FROM {TITLES})
 """)
 def plan_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     cue = F.concat(F.lit("cue "), F.col("image_id"))
     prompt = T.plan_prompt(F.col("article_title"), F.array(cue), F.array(F.upper(cue), F.lit("Cue 5")), F.lit("symbolic_editorial"), F.lit("wide view"), F.lit(""), ["non-photorealistic editorial illustration"], ["no watermark"])
-    return titles(spark, sf_dir).where("image_id <> '5'").select("article_id", prompt.alias("prompt"))
+    return titles(spark, sf_dir).select("article_id", prompt.alias("prompt"))
 
 
 # Joins, resume, dedup.
@@ -183,12 +183,13 @@ def plan_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT article_id, image_id, f.text IS NOT NULL AS vlm_parse_used, f.doc_id AS fact_doc, sha256(f.text) AS fact_sha256
-FROM {TITLES} t LEFT JOIN (SELECT image_id, max(doc_id) AS doc_id, max_by(text, doc_id) AS text FROM {FACTS} WHERE doc_id % 5 <> 0 AND image_id < '6' GROUP BY 1) f USING (image_id)
+FROM (SELECT article_id, (page_id % 131)::VARCHAR AS image_id FROM {TITLES}) t LEFT JOIN (SELECT image_id, max(doc_id) AS doc_id, max_by(text, doc_id) AS text FROM {FACTS} GROUP BY 1) f USING (image_id)
 """)
 def facts_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = facts(spark, sf_dir).where("doc_id % 5 <> 0 AND image_id < '6'")
-    last = R.last_by_key(known, "image_id", "doc_id", F.struct("doc_id", "text"))
-    out = R.lookup(titles(spark, sf_dir), last, "image_id", "fact", "vlm_parse_used")
+    # Titles have more image ids than facts do, so that some find none.
+    wanted = titles(spark, sf_dir).withColumn("image_id", (F.col("page_id") % 131).cast("string"))
+    last = R.last_by_key(facts(spark, sf_dir), "image_id", "doc_id", F.struct("doc_id", "text"))
+    out = R.lookup(wanted, last, "image_id", "fact", "vlm_parse_used")
     return out.select("article_id", "image_id", "vlm_parse_used", F.col("fact.doc_id").alias("fact_doc"), F.sha2("fact.text", 256).alias("fact_sha256"))
 
 
