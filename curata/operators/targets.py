@@ -2,11 +2,17 @@
 
 A plan is a struct of five fields (see SCHEMA). canonical() maps near-miss keys, coerces values and fills what may be
 filled; it leaves the core of the plan empty where the model left it so, and validate() then says what is missing. Values
-stay Column expressions; Python judges the likeness of distinct keys alone (curata.functions.keys).
+stay Column expressions; Python judges likeness alone: of distinct keys (curata.functions.keys), of values to the closed
+vocabularies, and of texts to the schema's placeholders.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from difflib import SequenceMatcher
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +43,19 @@ PLACEHOLDERS = [
     "main issue or event described by the title",
     "relevant context inferred only from the title and general knowledge",
     "relationship among entities/issues if any",
+    "risks such as wrong likeness, misleading literal scene, readable text",
     "things that should not dominate the image",
     "2-5 title-supported visual cues",
+    "2-5 title-supported concrete semantic cues",
     "2-5 concrete cues supported by the title",
+    "0-4 broad safe title-compatible cues",
+    "0-4 broad safe title-compatible cues, possibly inspired by VLM facts",
+    "0-4 safe title-compatible supporting cues",
+    "title risks, SDXL/editorial risks, or VLM-observed risky artifacts",
+    "title risks, generic SDXL risks, or VLM-observed risky artifacts",
     "brief composition/framing description",
     "concise natural-language comma-separated SDXL positive prompt",
+    "concise natural-language SDXL positive prompt with explicit non-photorealistic/editorial style",
     "concise comma-separated SDXL negative prompt",
     "one concise plain-language caption",
 ]
@@ -77,6 +91,22 @@ def mapped(lines: DataFrame, row: str, expected: list[str], scope: str) -> DataF
     return fields.join(lost, row, "full").select(row, "fields", F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("key_notes", "lost"))).alias("notes"))
 
 
+@lru_cache(100_000)
+def _close_value(value: str, allowed: tuple[str, ...]) -> str | None:
+    return K.close_key(value, list(allowed), least=0.70)
+
+
+def allowed_value(value: Column, allowed: list[str]) -> Column:
+    """The allowed value that a near miss stands for, as keys are mapped but by a likeness of 0.70; else the value itself."""
+
+    @F.pandas_udf("string")
+    def close(values):  # noqa: ANN001, ANN202
+        return values.map(lambda v: v and _close_value(v, tuple(allowed)))
+
+    near = F.coalesce(K.exact_key(value, allowed), K.partial_key(value, allowed), close(value), value)
+    return F.when((value == "") | value.isin(allowed), value).otherwise(near)
+
+
 def canonical(df: DataFrame, row: str, raw: str, title: str) -> DataFrame:
     """row, title, parse_ok, target and notes for each row; raw is model output, row a unique key.
 
@@ -95,6 +125,10 @@ def canonical(df: DataFrame, row: str, raw: str, title: str) -> DataFrame:
     get = lambda m, k: F.try_element_at(m, F.lit(k))
     some = lambda m, k, kind: T.text_list(F.coalesce(get(m, k), F.lit(""))) if kind == "list" else T.text_value(F.coalesce(get(m, k), F.lit("")))
     own = {("title_understanding", k): some("title_understanding", k, v) for k, v in TU.items()} | {("generation_plan", k): some("generation_plan", k, v) for k, v in GP.items()}
+    closed = {"visual_strategy": STRATEGIES, "abstractness": ABSTRACTNESS}
+    full = full.withColumns({f"__{k}": own["generation_plan", k] for k in closed})
+    full = full.withColumns({f"__{k}_mapped": allowed_value(F.col(f"__{k}"), allowed) for k, allowed in closed.items()})
+    own |= {("generation_plan", k): F.col(f"__{k}_mapped") for k in closed}
     lits = lambda xs: F.array(*map(F.lit, xs))
     fills: dict[tuple[str, str], Column] = {
         ("title_understanding", "headline_core"): F.col("title"),
@@ -118,48 +152,74 @@ def canonical(df: DataFrame, row: str, raw: str, title: str) -> DataFrame:
         F.when(caption == "", F.concat(F.col("title"), F.lit(": title-grounded editorial illustration"))).otherwise(caption).alias("ranking_caption"),
     )
     none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    values = codes([(F.concat(F.lit(f"fuzzy_value:generation_plan.{k}:"), F.col(f"__{k}"), F.lit("->"), F.col(f"__{k}_mapped")), F.col(f"__{k}") != F.col(f"__{k}_mapped")) for k in closed])
     made = codes([(f"missing_or_non_dict:{k}", F.col(k).isNull()) for k in parts] + [(f"filled_missing:{p}.{k}", missing(p, k)) for p, k in fills] + [("filled_missing:ranking_caption", caption == "")])
-    return full.select(row, "title", "parse_ok", target.alias("target"), F.concat(none(F.col("notes")), *(none(F.col(f"{k}_notes")) for k in parts), made).alias("notes"))
+    return full.select(row, "title", "parse_ok", target.alias("target"), F.concat(none(F.col("notes")), *(none(F.col(f"{k}_notes")) for k in parts), values, made).alias("notes"))
+
+
+def _similar_form(x: str) -> str:
+    return " ".join(re.sub("[_-]+", " ", x.lower()).split())
+
+
+KNOWN = [_similar_form(p) for p in PLACEHOLDERS]
+
+
+@lru_cache(100_000)
+def _near_placeholder(text: str, least: float = 0.82) -> bool:
+    """Whether the Ratcliff-Obershelp likeness to some placeholder reaches the least; bounds of it are tried first."""
+    ms = (SequenceMatcher(None, text, p) for p in KNOWN if 2.0 * min(len(text), len(p)) / (len(text) + len(p)) >= least)
+    return any(m.quick_ratio() >= least and m.ratio() >= least for m in ms)
+
+
+def looks_copied(text: str | None) -> bool:
+    """Whether a text holds a placeholder, or it or a part of 8 characters or more between commas or semicolons is much like one."""
+    t = _similar_form(text or "")
+    if not t:
+        return False
+    parts = (x.strip() for x in re.split("[,;]", t))
+    return any(p in t for p in KNOWN) or _near_placeholder(t) or any(len(x) >= 8 and _near_placeholder(x) for x in parts)
+
+
+def _copied(text: Column, is_json: bool = False) -> Column:
+    """looks_copied of a text, or of JSON as Python's json.dumps spaces it."""
 
+    @F.pandas_udf("boolean")
+    def copied(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda x: looks_copied(json.dumps(json.loads(x), ensure_ascii=False) if is_json and x else x))
 
-def _copied(low: Column) -> Column:
-    """Whether a text, in its form for similarity, holds a placeholder of the schema."""
-    known = [" ".join(p.lower().replace("-", " ").replace("_", " ").split()) for p in PLACEHOLDERS]
-    return F.exists(F.array(*map(F.lit, known)), lambda p: F.contains(low, p))
+    return copied(text)
 
 
 def errors(target: Column) -> Column:
     """Codes of what makes a plan unusable, in a fixed order."""
 
-    def of(t: Column) -> Column:
-        gp, tu = t["generation_plan"], t["title_understanding"]
-        texts = {k: T.clean_text(t[k]) for k in ("sdxl_prompt", "negative_prompt", "ranking_caption")} | {k: T.clean_text(gp[k]) for k in ("visual_strategy", "framing", "abstractness")}
-        copies = {k: T.for_similarity(x) for k, x in (("tu", F.to_json(tu)), ("gp", F.to_json(gp)), ("pos", t["sdxl_prompt"]), ("cap", t["ranking_caption"]))}
-        values = F.struct(*(x.alias(k) for k, x in (texts | copies).items()), F.lower(texts["sdxl_prompt"]).alias("low"), (T.clean_text(tu["headline_core"]) == "").alias("headless"), F.size(gp["required_visual_cues"]).alias("cues"))
-        return T.let(values, found)
+    gp, tu = target["generation_plan"], target["title_understanding"]
+    texts = {k: T.clean_text(target[k]) for k in ("sdxl_prompt", "negative_prompt", "ranking_caption")} | {k: T.clean_text(gp[k]) for k in ("visual_strategy", "framing", "abstractness")}
+    copies = {"tu": _copied(F.to_json(tu), True), "gp": _copied(F.to_json(gp), True), "pos": _copied(target["sdxl_prompt"]), "cap": _copied(target["ranking_caption"])}
+    values = F.struct(*(x.alias(k) for k, x in (texts | copies).items()), F.lower(texts["sdxl_prompt"]).alias("low"), (T.clean_text(tu["headline_core"]) == "").alias("headless"), F.size(gp["required_visual_cues"]).alias("cues"))
 
     def found(v: Column) -> Column:
         low = v["low"]
         styled = F.exists(F.array(*map(F.lit, STYLE_WORDS)), lambda w: F.contains(low, w))
         out: list[tuple[str | Column, Column]] = [
             ("empty_headline_core", v["headless"]),
-            ("title_understanding_looks_like_schema_copy", _copied(v["tu"])),
+            ("title_understanding_looks_like_schema_copy", v["tu"]),
             ("too_few_required_visual_cues", v["cues"] < 2),
             *((f"empty_{k}", v[k] == "") for k in ("visual_strategy", "framing", "abstractness")),
-            ("generation_plan_looks_like_schema_copy", _copied(v["gp"])),
+            ("generation_plan_looks_like_schema_copy", v["gp"]),
             *((F.concat(F.lit(f"invalid_{k}:"), v[k]), (v[k] != "") & ~v[k].isin(allowed)) for k, allowed in (("visual_strategy", STRATEGIES), ("abstractness", ABSTRACTNESS))),
             ("sdxl_prompt_too_short", F.length(v["sdxl_prompt"]) < 40),
             ("negative_prompt_too_short", F.length(v["negative_prompt"]) < 10),
             ("missing_ranking_caption", v["ranking_caption"] == ""),
-            ("sdxl_prompt_looks_like_schema_copy", _copied(v["pos"])),
-            ("ranking_caption_looks_like_schema_copy", _copied(v["cap"])),
+            ("sdxl_prompt_looks_like_schema_copy", v["pos"]),
+            ("ranking_caption_looks_like_schema_copy", v["cap"]),
             *((f"{k}_bad_repetition", T.has_bad_repetition(v[k])) for k in ("sdxl_prompt", "negative_prompt", "ranking_caption")),
             ("sdxl_prompt_lacks_synthetic_editorial_style", ~styled),
             *((f"risky_positive_prompt_term:{t}", F.contains(low, F.lit(t)) & ~T.is_negated(low, t)) for t in RISKY),
         ]
         return codes(out)
 
-    return T.let(target, of)
+    return T.let(values, found)
 
 
 def warnings(target: Column) -> Column:
