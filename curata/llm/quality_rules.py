@@ -109,16 +109,18 @@ def thresholds(df: DataFrame, groups: list[str]) -> DataFrame:
     """The limit of each rate in each group: Tukey's far fence, high + 3 * (high - low) of the sketch's quartiles, with at
     least the rate's slack between these. Junk that is less than a quarter of a group doesn't move its limit.
 
-    Groups of fewer than LEAST_ROWS rows take the limit of the sketch merged over all groups with the same first column.
+    Groups of fewer than LEAST_ROWS rows take the limit of the sketch merged over all groups with the same first column,
+    and where that has fewer rows too, of the sketch merged over all rows.
     """
     own = sketch(df, groups)
     shares = {"low": 0.25, "high": 0.75}
     slack = F.create_map(*(x for k, v in RATES.items() for x in (F.lit(k), F.lit(v))))[F.col("rate")]
     limit = F.col("high") + 3 * F.greatest(slack, F.col("high") - F.col("low"))
     fine = quantiles(own, groups, shares).withColumn("limit", limit).select(*groups, "rate", "n", "limit")
-    coarse = quantiles(merge(own, groups[:1]), groups[:1], shares).withColumn("limit", limit).select(F.col(groups[0]).alias("__g"), F.col("rate").alias("__rate"), F.col("limit").alias("__wide"))
-    both = fine.join(coarse, F.col(groups[0]).eqNullSafe(F.col("__g")) & (F.col("rate") == F.col("__rate")))
-    best = F.when(F.col("n") >= LEAST_ROWS, F.col("limit")).otherwise(F.col("__wide"))
+    coarse = quantiles(merge(own, groups[:1]), groups[:1], shares).withColumn("limit", limit).select(F.col(groups[0]).alias("__g"), F.col("rate").alias("__rate"), F.col("n").alias("__n"), F.col("limit").alias("__wide"))
+    every = quantiles(merge(own, []), [], shares).withColumn("limit", limit).select(F.col("rate").alias("__r"), F.col("limit").alias("__all"))
+    both = fine.join(coarse, F.col(groups[0]).eqNullSafe(F.col("__g")) & (F.col("rate") == F.col("__rate"))).join(F.broadcast(every), F.col("rate") == F.col("__r"))
+    best = F.when(F.col("n") >= LEAST_ROWS, F.col("limit")).when(F.col("__n") >= LEAST_ROWS, F.col("__wide")).otherwise(F.col("__all"))
     return both.groupBy(*groups).pivot("rate", list(RATES)).agg(F.first(best))
 
 

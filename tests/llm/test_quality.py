@@ -76,6 +76,15 @@ def test_limits_come_from_each_group(spark):
     assert limits["code"].symbols_per_word > 5 * limits["prose"].symbols_per_word
 
 
+def test_small_languages_take_the_limit_of_all_rows(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    good = [(i, " ".join(word() for _ in range(60)), "en", "s0") for i in range(300)]
+    lone = [(1000, " ".join(word() + "###" for _ in range(60)), "xx", "s0"), (1001, " ".join(word() + "###" for _ in range(60)), None, None), (1002, " ".join(word() for _ in range(60)), "xx", "s1")]
+    got = {r.doc_id: r.kept for r in Q.apply_rules(spark.createDataFrame(good + lone, "doc_id long, text string, lang string, source string"), "text").collect()}
+    assert all(got[i] for i, *_ in good) and (got[1000], got[1001], got[1002]) == (False, False, True)
+
+
 def test_label_model_finds_accuracies():
     rng = random.Random(4)
     accuracy = [0.95, 0.9, 0.8, 0.75, 0.6]
