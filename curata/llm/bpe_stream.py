@@ -3,8 +3,10 @@
 Encoding. A prefix of a piece has one BPE encoding, and if the encoding of a longer text has a boundary at some place, its
 tokens before it are the encoding of that prefix. So it is enough to keep, for each byte position, the last token of the
 prefix's encoding: the one token t ending there whose pair with the last token before it stays apart under the merges.
-No token is longer than `lookahead` bytes, so the final encoding has a boundary among the last `lookahead` positions:
-what all their paths share is stable and is emitted at once, whatever follows. Memory holds the unstable end alone.
+An Aho-Corasick automaton lists the tokens that end at a position. No token is longer than `lookahead` bytes, so the final
+encoding has a boundary among the last `lookahead` positions: the tokens before the last boundary that all paths back from
+these go through are stable and are emitted at once, whatever follows. Memory holds the unstable end alone. Every piece of
+a text is encoded so; a memo keeps the ids of words met before.
 
 Decoding. Each token's bytes go through a UTF-8 state machine that holds at most three bytes of an unfinished character
 and puts U+FFFD for each maximal ill-formed part, as the library's decoder does.
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import codecs
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,8 +31,10 @@ from curata.llm import common as C
 
 #: Fixed value: how this family of vocabularies parts a text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words and pieces kept by one Python worker, in two generations of half as many.
-KEPT = 1_400_000
+#: Words, pieces and pairs of tokens kept by one Python worker.
+KEPT_WORDS, KEPT_PIECES, KEPT_PAIRS = 1_000_000, 700_000, 1_000_000
+#: Bytes of a piece that the transducer reads at a time, and ids that the decoder does.
+PART, FEED = 4096, 65_536
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,24 +47,6 @@ def byte_letters() -> dict[str, int]:
 NONE = 1 << 60
 
 
-class Kept:
-    """A bounded memo of two generations."""
-
-    def __init__(self, most: int) -> None:
-        self.half, self.young, self.old = most // 2, {}, {}
-
-    def get(self, key):  # noqa: ANN001, ANN201
-        x = self.young.get(key)
-        if x is None and (x := self.old.get(key)) is not None:
-            self.put(key, x)
-        return x
-
-    def put(self, key, value) -> None:  # noqa: ANN001
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class Transducer:
     """One merge list: pieces of bytes to ids, ids to text."""
 
@@ -82,10 +70,24 @@ class Transducer:
         #: Sufficient lookahead in bytes: the longest token that the merge list can make.
         made = {x & 0xFFFFF for x in self.best.values()} | set(self.single)
         self.lookahead = max(len(self.bytes_of[x]) for x in made)
-        self.ending: dict[bytes, int] = {self.bytes_of[x]: x for x in made}
-        self.lengths = sorted({len(b) for b in self.ending})
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.pieces, self.words = Kept(KEPT // 3), Kept(KEPT)
+        self.size = {x: len(self.bytes_of[x]) for x in made}
+        self.ending = ahocorasick.Automaton()
+        for x in made:
+            if self.merged(self.bytes_of[x]) == [x]:  # else no encoding has it
+                self.ending.add_word(self.bytes_of[x].decode("latin-1"), x)
+        self.ending.make_automaton()
+        self.halves: dict[int, tuple[int, int, int]] = {}
+        for pair, x in self.best.items():
+            self.halves.setdefault(x & 0xFFFFF, (x >> 20, pair >> 20, pair & 0xFFFFF))
+        self.edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
+        self.apart: dict[int, bool] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        #: Pieces that went through the transducer.
+        self.streamed = 0
+        self.memo = C.SpanMemo(KEPT_WORDS)
+        top = max(self.bytes_of) + 1
+        self.decimal = pa.array([str(i) for i in range(top)], pa.large_string())
+        self.raw = pa.array([self.bytes_of.get(i, b"") for i in range(top)], pa.large_binary())
 
     @classmethod
     def of(cls, path: str) -> "Transducer":
@@ -108,93 +110,147 @@ class Transducer:
                 pairs[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
         return ids
 
-    def _apart(self, a: int, b: int) -> bool:
-        """Whether the merges leave the tokens a and b side by side."""
-        got = self.apart.get((a, b))
+    def _edge(self, t: int, left: bool) -> list[tuple[int, int]]:
+        """The tokens that stand at the left or right edge of t while it is made, from a byte to t itself, each with the rank
+        of the merge that takes it up."""
+        got = self.edges.get((t, left))
         if got is None:
-            if len(self.apart) > 500_000:
-                self.apart.clear()
-            got = self.apart[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            up, x, got = NONE, t, []
+            while True:
+                got.append((x, up))
+                if x not in self.halves:
+                    break
+                up, first, second = self.halves[x]
+                x = first if left else second
+            got.reverse()
+            self.edges[t, left] = got
         return got
 
-    def stream(self, parts: Iterator[bytes]) -> Iterator[int]:
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether the merges leave the tokens a and b side by side: at no time does a merge of the two tokens at the
+        boundary come before those that take them up. Merges of equal rank go from left to right."""
+        x, y = self._edge(a, False), self._edge(b, True)
+        i = j = 0
+        while True:
+            (p, up_p), (q, up_q) = x[i], y[j]
+            rank = self.best.get(p << 20 | q, NONE) >> 20
+            if rank < up_p and rank <= up_q and rank < NONE >> 20:
+                return False
+            if up_p == up_q == NONE:
+                return True
+            if up_p <= up_q:
+                i += 1
+            else:
+                j += 1
+
+    def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """The ids of one piece that arrives in parts, each as soon as nothing that follows can change it."""
-        tail = b""  # bytes from the last stable boundary on
-        last: list[int] = []  # for each position of tail, the last token of the encoding of what ends there
-        before = None  # the token ahead of tail
+        open_ = OpenPiece(self)
         for part in parts:
-            for byte in part:
-                tail += bytes([byte])
-                n = len(tail)
-                for size in self.lengths:  # the encoding's last token is unique, so the first that fits is it
-                    if size > n:
-                        break
-                    t = self.ending.get(tail[n - size :])
-                    if t is None:
-                        continue
-                    prior = before if size == n else last[n - size - 1]
-                    if (prior is None and size == n and self.merged(tail) == [t]) or (prior is not None and self._apart(prior, t)):
-                        last.append(t)
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
-                if n > 4 * self.lookahead:
-                    done = self._shared(tail, last)
-                    for t in done:
-                        yield t
-                        size = len(self.bytes_of[t])
-                        tail, last, before = tail[size:], last[size:], t
-        out, at = [], len(tail)
-        while at:
-            out.append(last[at - 1])
-            at -= len(self.bytes_of[last[at - 1]])
-        yield from reversed(out)
-
-    def _shared(self, tail: bytes, last: list[int]) -> list[int]:
-        """The tokens at the front that the paths from all of the last `lookahead` positions share."""
-        shared: list[int] | None = None
-        for end in range(len(tail) - self.lookahead + 1, len(tail) + 1):
-            path, at = [], end
-            while at:
-                path.append(last[at - 1])
-                at -= len(self.bytes_of[last[at - 1]])
-            path.reverse()
-            if shared is None:
-                shared = path
-            else:
-                k = next((i for i, (a, b) in enumerate(zip(shared, path)) if a != b), min(len(shared), len(path)))
-                shared = shared[:k]
-        return shared or []
+            yield from open_.feed(part)
+        yield from open_.close()
 
-    def piece(self, piece: bytes) -> list[int]:
-        if len(piece) > self.lookahead:
-            return list(self.stream(piece[i : i + 4096] for i in range(0, len(piece), 4096)))
+    def piece(self, piece: bytes) -> bytes:
+        """The ids of a piece as little-endian 32-bit integers."""
         got = self.pieces.get(piece)
         if got is None:
-            got = self.merged(piece)
-            self.pieces.put(piece, got)
+            got = array("I", self.stream(piece[i : i + PART] for i in range(0, len(piece), PART))).tobytes()
+            if len(piece) <= self.lookahead:
+                if len(self.pieces) >= KEPT_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = got
         return got
 
-    def plain(self, text: str) -> list[int]:
-        """Ids of a text without added tokens."""
-        out: list[int] = []
-        for m in PIECES.finditer(text):
-            out += self.piece(m[0].encode())
-        return out
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens, as little-endian 32-bit integers."""
+        return b"".join([self.piece(m.encode()) for m in PIECES.findall(text)])
 
     def encode(self, text: str) -> list[int]:
         if not self.added_at:
-            return self.plain(text)
+            return np.frombuffer(self.plain(text), "<u4").tolist()
         out, at = [], 0
         for m in self.added_at.finditer(text):
-            out += [*self.plain(text[at : m.start()]), self.added[m[0]]]
+            out += [*np.frombuffer(self.plain(text[at : m.start()]), "<u4").tolist(), self.added[m[0]]]
             at = m.end()
-        return out + self.plain(text[at:])
+        return out + np.frombuffer(self.plain(text[at:]), "<u4").tolist()
 
     def decoder(self) -> "Decoder":
         return Decoder(self.bytes_of)
 
 
+class OpenPiece:
+    """A piece under way: feed() returns the ids that became stable, close() the rest."""
+
+    def __init__(self, bpe: Transducer) -> None:
+        self.bpe = bpe
+        bpe.streamed += 1
+        self.last: list[int] = []  # for each position after the last stable boundary, the last token of what ends there
+        self.base, self.before = 0, None  # that boundary's place, and the token ahead of it
+        self.found = None
+
+    def feed(self, part: bytes) -> list[int]:
+        bpe, last, base, before = self.bpe, self.last, self.base, self.before
+        size, apart, most, out = bpe.size, bpe.apart, 4 * bpe.lookahead, []
+        if self.found is None:
+            self.found = bpe.ending.iter(part.decode("latin-1"))
+        else:
+            self.found.set(part.decode("latin-1"))
+        at = len(last)
+        for end, t in self.found:  # the tokens that end here, the longest first
+            here = end - base
+            if at > here:
+                continue
+            n = size[t]
+            if n <= here:
+                prior = last[here - n]
+            elif n == here + 1:
+                prior = before
+            else:
+                continue
+            if prior is not None:
+                ok = apart.get(prior << 20 | t)
+                if ok is None:
+                    if len(apart) >= KEPT_PAIRS:
+                        apart.clear()
+                    ok = apart[prior << 20 | t] = bpe._apart(prior, t)
+                if not ok:
+                    continue
+            last.append(t)
+            at += 1
+            if at >= most and (done := self._shared()):
+                out += done
+                n = sum(size[x] for x in done)
+                base, before = base + n, done[-1]
+                at -= n
+                del last[:n]
+        self.base, self.before = base, before
+        return out
+
+    def close(self) -> list[int]:
+        return self._path(len(self.last))
+
+    def _path(self, at: int) -> list[int]:
+        out = []
+        while at:
+            out.append(self.last[at - 1])
+            at -= self.bpe.size[out[-1]]
+        out.reverse()
+        return out
+
+    def _shared(self) -> list[int]:
+        """The tokens up to the last boundary that the paths back from all of the last `lookahead` positions go through."""
+        at = len(self.last)
+        least = at - self.bpe.lookahead
+        ends, n = [p > least for p in range(at + 1)], at - max(least, 0)
+        while at and not (n == 1 and ends[at]):
+            if ends[at]:
+                to = at - self.bpe.size[self.last[at - 1]]
+                n -= ends[to]
+                ends[to] = True
+            at -= 1
+        return self._path(at)
+
+
 class Decoder:
     """Ids to text, step by step: feed() returns the characters that an id completes, close() what is left over."""
 
@@ -216,8 +272,8 @@ class Decoder:
 EDGE = r"^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$|<\|"
 
 
-def encode_texts(bpe: Transducer, text: pa.Array) -> Iterator[tuple[list[bytes], list[bytes], list[int]]]:
-    """For each text its ids as decimal strings, its tokens' bytes, and how many tokens these hold, by word.
+def encode_texts(bpe: Transducer, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (n + 1) into the ids of all texts. Null texts are empty.
 
     Between two characters that aren't white space a single space starts a piece, so such texts are encoded word by word,
     each distinct word of a batch once.
@@ -226,38 +282,62 @@ def encode_texts(bpe: Transducer, text: pa.Array) -> Iterator[tuple[list[bytes],
     lists = pc.split_pattern(text, " ")
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
+    sizes_of = np.diff(offsets)
     first = np.zeros(len(flat), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    first[offsets[:-1][sizes_of > 0]] = True
     # An empty word, or white space at a word's edge, stands by an odd space; an added token may hold one.
     odd_word = pc.or_(pc.equal(pc.binary_length(flat), 0), pc.match_substring_regex(flat, EDGE)).to_numpy(zero_copy_only=False)
     odd = np.concatenate([[0], np.cumsum(odd_word)])
     whole = (odd[offsets[1:]] - odd[offsets[:-1]]) > 0
-    words, index = C.distinct(flat)
-    memo = bpe.words
-
-    def coded(key: bytes) -> tuple[bytes, bytes, int]:
-        got = memo.get(key)
-        if got is None:
-            ids = bpe.plain(key.decode())
-            got = (",".join(map(str, ids)).encode(), b"".join(bpe.bytes_of[i] for i in ids), len(ids))
-            memo.put(key, got)
-        return got
 
-    used = np.unique(index[~first & np.repeat(~whole, np.diff(offsets))]) if len(index) else np.zeros(0, np.int64)
-    table: list = [None] * len(words)
-    for k in used.tolist():
-        table[k] = coded(b" " + words[k])
-    index = index.tolist()
-    bounds = offsets.tolist()
-    for i in range(len(text)):
-        if whole[i]:
-            ids = bpe.encode(text[i].as_py())
-            yield [",".join(map(str, ids)).encode()] if ids else [], [b"".join(bpe.bytes_of[t] for t in ids)], [len(ids)]
-            continue
-        own = [table[k] for k in index[bounds[i] + 1 : bounds[i + 1]]]
-        if bounds[i + 1] > bounds[i]:
-            own.insert(0, coded(words[index[bounds[i]]]))
-        yield [x[0] for x in own], [x[1] for x in own], [x[2] for x in own]
+    # Ids by word: words of whole texts have none, and a first word has no space before it.
+    by_word = ~np.repeat(whole, sizes_of)
+    sizes, starts = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+    keys, uses = [pa.array([], pa.large_binary())], []
+    for mask, space in ((by_word & ~first, b" "), (by_word & first, b"")):
+        coded = flat.filter(pa.array(mask)).cast(pa.large_binary()).dictionary_encode()
+        keys.append(pc.binary_join_element_wise(pa.scalar(space, pa.large_binary()), coded.dictionary, pa.scalar(b"", pa.large_binary())))
+        uses.append((mask, coded.indices.to_numpy()))
+
+    def learn(_: np.ndarray, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [bpe.plain(w.decode()) for w in new]
+        return np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
+
+    every = pa.concat_arrays(keys)
+    distinct = every.dictionary_encode()
+    place = bpe.memo.places(distinct.dictionary, learn)[distinct.indices.to_numpy()]
+    at = 0
+    for (mask, index), k in zip(uses, keys[1:], strict=True):
+        own = place[at : at + len(k)][index]
+        sizes[mask], starts[mask] = bpe.memo.sizes[own], bpe.memo.starts[own]
+        at += len(k)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    counts = ends[offsets[1:]] - ends[offsets[:-1]]
+    ids = bpe.memo.ids[C.spans(starts, sizes)]
+    if not whole.any():
+        return np.concatenate([[0], np.cumsum(counts)]), ids
+    odd_ids = [np.array(bpe.encode(text[int(i)].as_py()), np.uint32) for i in np.flatnonzero(whole)]
+    counts[whole] = list(map(len, odd_ids))
+    out = np.zeros(counts.sum(), np.uint32)
+    begin = np.cumsum(counts) - counts
+    out[C.spans(begin[~whole], counts[~whole])] = ids
+    out[C.spans(begin[whole], counts[whole])] = np.concatenate(odd_ids)
+    return np.concatenate([[0], np.cumsum(counts)]), out
+
+
+def decode_ids(bpe: Transducer, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+    """The texts of the ids between the offsets, each by a state machine of its own that takes FEED ids at a time."""
+    cuts = np.unique(np.concatenate([offsets, *(np.arange(s, e, FEED) for s, e in zip(offsets[:-1], offsets[1:], strict=True) if e - s > FEED)]))
+    tokens = bpe.raw.take(pa.array(ids))
+    fed = iter(zip(cuts[1:].tolist(), pc.binary_join(pa.LargeListArray.from_arrays(cuts, tokens), pa.scalar(b"", pa.large_binary())).to_pylist(), strict=True))
+    out = []
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        machine, text = Decoder(bpe.bytes_of), []
+        while s < e:
+            s, raw = next(fed)
+            text.append(machine.take(raw))
+        out.append("".join(text) + machine.close())
+    return out
 
 
 def round_trip(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
@@ -270,14 +350,11 @@ def round_trip(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> Da
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Transducer.of(vocabulary)
-        for batch in C.small_batches(batches, 1):
-            ids, tokens, decoded = [], [], []
-            for parts, raw, sizes in encode_texts(bpe, batch.column(1)):
-                machine = Decoder(bpe.bytes_of)
-                ids.append(b",".join(parts))
-                tokens.append(sum(sizes))
-                decoded.append("".join(map(machine.take, raw)) + machine.close())
-            columns = [batch.column(0), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()).cast(pa.string()), pa.array(decoded, pa.string())]
+        for batch in C.small_batches(batches, 1, 6_000_000):
+            offsets, ids = encode_texts(bpe, batch.column(1))
+            shown = pc.binary_join(pa.LargeListArray.from_arrays(offsets, bpe.decimal.take(pa.array(ids))), pa.scalar(",", pa.large_string()))
+            decoded = decode_ids(bpe, offsets, ids)
+            columns = [batch.column(0), pa.array(np.diff(offsets)), shown.cast(pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_text", "decoded"])
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(add, f"id {kind}, n_tokens long, ids_text string, decoded string")

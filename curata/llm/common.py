@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,44 @@ def distinct(flat: pa.Array) -> tuple[list[bytes], np.ndarray]:
     return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    return np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class SpanMemo:
+    """Ids of strings, kept by one Python worker between batches: at most `most` strings, then it starts anew."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: pa.Array = pa.array([], pa.large_binary())
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def places(self, keys: pa.Array, learn: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The memo's entry of each of the distinct keys. What isn't in it yet goes to learn(places in keys, strings), which
+        returns the sizes and, one after another, the ids of these."""
+        keys = keys.cast(pa.large_binary())
+        at = pc.index_in(keys, value_set=self.known)
+        place = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        if len(place) and len(self.known) and len(self.known) + len(place) > self.most:
+            self.forget()
+            return self.places(keys, learn)
+        fresh = keys.take(pa.array(place))
+        sizes, ids = learn(place, fresh.to_pylist())
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        out = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        out[place] = len(self.known) + np.arange(len(place))
+        self.known = pa.concat_arrays([self.known, fresh])
+        return out
+
+
 def word_hashes(flat: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word."""
     words, index = distinct(flat)

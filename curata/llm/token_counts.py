@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm import common as C
-from curata.llm.bpe_stream import Kept
 
 #: The mark that stands for a space, and the unknown character's penalty.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
@@ -34,6 +33,24 @@ def vocabulary(model_path: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in kept]
 
 
+class Kept:
+    """A bounded memo of two generations."""
+
+    def __init__(self, most: int) -> None:
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key):  # noqa: ANN001, ANN201
+        x = self.young.get(key)
+        if x is None and (x := self.old.get(key)) is not None:
+            self.put(key, x)
+        return x
+
+    def put(self, key, value) -> None:  # noqa: ANN001
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Counter:
     _open: dict[str, "Counter"] = {}
 

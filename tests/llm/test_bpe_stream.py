@@ -69,3 +69,36 @@ def test_table(spark, library):
         want.append((i if i is not None else -1, len(ids), ",".join(map(str, ids)), t or ""))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_text, r.decoded) for r in got) == sorted(want)
     assert round_trip(df.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_every_distinct_piece_goes_through_the_transducer():
+    import pyarrow as pa
+
+    from curata.llm import bpe_stream as B
+
+    bpe = Transducer(PATH)
+    before = bpe.streamed
+    text = pa.array(["the cat sat on the mat", "the cat, the mat", None])
+    offsets, ids = B.encode_texts(bpe, text)
+    assert bpe.streamed - before == len({"the", " cat", " sat", " on", " the", " mat", ","})
+    assert B.decode_ids(bpe, offsets, ids) == ["the cat sat on the mat", "the cat, the mat", ""]
+    B.encode_texts(bpe, text)
+    assert bpe.streamed - before == 7
+
+
+def test_a_long_word_takes_constant_memory(bpe):
+    from curata.llm.bpe_stream import OpenPiece
+
+    open_, held, n = OpenPiece(bpe), 0, 0
+    for _ in range(200):
+        n += len(open_.feed(b"abcab" * 1000))
+        held = max(held, len(open_.last))
+    assert held <= 4 * bpe.lookahead and n > 100_000
+
+
+def test_tokens_stay_apart_as_the_merges_have_it(bpe):
+    rng = random.Random(5)
+    made = sorted(bpe.size)
+    for _ in range(3000):
+        a, b = rng.choice(made[: rng.choice((400, 5000, len(made)))]), rng.choice(made)
+        assert bpe._apart(a, b) == (bpe.merged(bpe.bytes_of[a] + bpe.bytes_of[b]) == [a, b])
