@@ -147,6 +147,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int
     # Ranks within a length: by part, then within (length, part), so a frequent length is spread over all parts.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = made.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    ahead = ahead.repartition("length", "part")  # else the join deals all pieces by length alone, which one length may rule
     inner = Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")
     ranked = made.withColumn("place", F.row_number().over(inner)).join(ahead, ["length", "part"]).withColumn("rank", F.col("ahead") + F.col("place") - 1)
 

@@ -1,7 +1,8 @@
 """Ids of texts by a tokenizers file whose words are encoded one by one.
 
-Where the pre-tokenizer never joins what white space parts, a text's ids are its words' ids in order. So each distinct
-word of a batch is encoded once, by the tokenizers library, and kept for later batches up to a bound.
+Where the pre-tokenizer never joins what white space parts, a text's ids are its words' ids in order. So the tokenizers
+library encodes each distinct word once and a memo keeps its ids for later batches. Words of letters alone go to it many
+at a time, joined by spaces, for a token that ends a word tells where each of them ends.
 """
 
 from __future__ import annotations
@@ -14,14 +15,19 @@ import pyarrow.compute as pc
 
 from curata.llm import common as C
 
-#: Words kept by one Python worker between batches, in two generations of half as many.
-KEPT_WORDS = 1_200_000
+#: Lower-case letters that no normalizer changes, and perhaps the full stop or comma that ends a word.
+PLAIN = "^[a-zß-öø-ÿ]+[.,]?$"
+#: Plain words that the library gets as one text, and texts a call.
+JOINED, CALL = 200, 200
+#: Words kept by one Python worker between batches, without a stop at their end.
+KEPT_WORDS = 1_000_000
 
 
 class WordEncoder:
     """texts -> (offsets, ids), equal to encode(text, add_special_tokens=False, no truncation, no padding) of the file.
 
-    For files that lower-case, and part letters from the full stop or comma that ends a word; the constructor tries both.
+    For files that lower-case, part letters from the full stop or comma that ends a word, and mark the token that ends a
+    word; the constructor tries all of it.
     """
 
     _open: dict[str, "WordEncoder"] = {}
@@ -37,8 +43,11 @@ class WordEncoder:
         if ids("Ab.\n CD,e") != ids("ab") + ids(".") + ids("cd") + ids(",") + ids("e"):
             raise ValueError(f"{path} doesn't encode word by word")
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.stops = [np.array(ids(c), np.uint32) for c in ".,"]
+        self.memo = C.SpanMemo(KEPT_WORDS)
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -47,35 +56,54 @@ class WordEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes what isn't known yet. A letter before the last full stop or comma ends a piece, so the rest counts."""
-        if len(self.young) + len(words) > KEPT_WORDS // 2:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new, ended = set(), []
-        for w in words:
-            if w in young:
-                continue
-            if w in old:
-                young[w] = old[w]
-            elif w[-1] in b".," and len(w) > 1 and 97 <= w[-2] <= 122:
-                ended.append(w)
-                if w[:-1] not in young:
-                    if w[:-1] in old:
-                        young[w[:-1]] = old[w[:-1]]
-                    else:
-                        new.add(w[:-1])
-            else:
-                new.add(w)
-        if ended:
-            new |= {b".", b","} - young.keys()
-        rest = list(new)
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        for w in ended:
-            young[w] = young[w[:-1]] + young[w[-1:]]
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words, each encoded by itself."""
+        sizes, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)]
+        for i in range(0, len(words), 20_000):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+            sizes[i : i + len(coded)] = list(map(len, coded))
+            parts.append(np.array([x for ids in coded for x in ids], np.uint32))
+        return sizes, np.concatenate(parts)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of plain letters, many a text."""
+        parts = [np.zeros(0, np.uint32)]
+        texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        for i in range(0, len(texts), CALL):
+            parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            return self._each(words)
+        return np.diff(last, prepend=-1), ids
+
+    def _learn(self, place: np.ndarray, words: list[bytes], plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words, those at the first `plain` places by many at a time."""
+        n = int((place < plain).sum())
+        strings = [w.decode() for w in words]
+        coded = self._plain(strings[:n]), self._each(strings[n:])
+        return tuple(np.concatenate(x) for x in zip(*coded, strict=True))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of distinct words, one after another."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        at, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        some = words.take(pa.array(at))
+        stop = [pc.ends_with(some, c).to_numpy(zero_copy_only=False) for c in ".,"]
+        stems = pc.utf8_rtrim(some, ".,").dictionary_encode()
+        n_stems, memo = len(stems.dictionary), self.memo
+        key = memo.places(pa.concat_arrays([stems.dictionary, words.take(pa.array(others))]), lambda place, new: self._learn(place, new, n_stems))
+        of, ended = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        of[at], ended[at] = key[stems.indices.to_numpy()], stop[0] + 2 * stop[1]
+        of[others] = key[n_stems:]
+        sizes, starts = memo.sizes[of], memo.starts[of]
+        total = sizes + np.array([0, *map(len, self.stops)])[ended]
+        out = np.zeros(total.sum(), np.uint32)
+        first = np.cumsum(total) - total
+        out[C.spans(first, sizes)] = memo.ids[C.spans(starts, sizes)]
+        for k, x in enumerate(self.stops, 1):
+            out[C.spans((first + sizes)[ended == k], np.full((ended == k).sum(), len(x)))] = np.tile(x, (ended == k).sum())
+        return total, out
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (n + 1) into the ids (uint32) of all texts. Null texts are empty."""
@@ -83,14 +111,11 @@ class WordEncoder:
         if not any(pc.any(pc.match_substring(text, s[:2])).as_py() for s in self.special):  # their case matters
             text = pc.ascii_lower(text)
         offsets, flat = C.split_words(text)
-        words, index = C.distinct(flat)
-        if not len(words):
+        if not len(flat):
             return np.zeros(len(text) + 1, np.int64), np.zeros(0, np.uint32)
-        self._learn(words)
-        coded = list(map(self.young.__getitem__, words))
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        pool, start = np.frombuffer(b"".join(coded), "<u4"), np.concatenate([[0], np.cumsum(size)[:-1]])
+        coded = flat.dictionary_encode()
+        size, pool = self.words(coded.dictionary)
+        index = coded.indices.to_numpy()
         sizes = size[index]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(ends[-1]) + np.repeat(start[index] - ends[:-1], sizes)
-        return ends[offsets], pool[at]
+        return ends[offsets], pool[C.spans((np.cumsum(size) - size)[index], sizes)]
