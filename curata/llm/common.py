@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words, as a Java pattern.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -37,6 +39,34 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, under: str) -> None:
+    """Deletes a folder of intermediate tables."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(under)
+    path.getFileSystem(conf).delete(path, True)
+
+
+class Scratch:
+    """Intermediate tables of one operator call, in a folder of their own that goes when the block ends. What the block
+    returns must not read them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/curata-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, self.path)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """Cuts the lineage: df written and read again."""
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -173,26 +203,55 @@ def unpack(blob: bytes) -> np.ndarray:
 
 #: Characters of a chunk of documents, which one task holds at a time.
 CHUNK_CHARS = 4_000_000
+#: Bounds that the driver holds at most, however many documents there are, and the rows that it draws for each of them.
+RANGES, DRAWN = 8192, 16
 
 
-def chunk_bounds(df: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, least: int | None = None) -> np.ndarray:
-    """Ids that part the documents into ranges of about chunk_chars characters, by default at least two a partition: two
-    passes, no shuffle of texts."""
-    spark = df.sparkSession
-    chars, rows = df.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)), F.count(F.lit(1))).first()
+def weighted_bounds(ids: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """At most n - 1 ids that part the rows into ranges of about equal weight."""
+    by = np.argsort(ids, kind="stable")
+    below = np.cumsum(weights[by])
+    if n < 2 or not len(by):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(below, below[-1] * np.arange(1, n) / n)
+    return np.unique(ids[by][np.minimum(at, len(by) - 1)])
+
+
+def rank_among(x: Column, bounds: np.ndarray) -> Column:
+    """How many of the ascending bounds are less than x, which isn't null: a search in two steps, JVM-side."""
+    if not len(bounds):
+        return F.lit(0).cast("long")
+    width = int(np.ceil(np.sqrt(len(bounds))))
+    groups = [bounds[i : i + width].tolist() for i in range(0, len(bounds), width)]
+    less = lambda a: F.size(F.filter(a, lambda b: b < x))
+    whole = less(F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>"))
+    inside_ = less(F.get(F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>"), whole - 1))
+    return F.when(whole == 0, 0).otherwise((whole - 1) * width + inside_).cast("long")
+
+
+def with_chunk(df: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, least: int | None = None, name: str = "__chunk", ranges: int = RANGES) -> tuple[DataFrame, int]:
+    """df with the number (long) of a range of ids of about chunk_chars characters, and about how many ranges there are, by
+    default at least two a partition. Numbers ascend with the id; a null id is the least; equal ids share a range.
+
+    The driver draws a bounded number of rows and parts the ids into at most `ranges` ranges by their characters; what asks
+    for more has each range parted again by its own quantiles, in a table that is joined. Where bounds fall changes the
+    tasks' sizes alone, no result. Ids must be integers.
+    """
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col}: ids must be integers, not {df.schema[id_col].dataType.simpleString()}")
+    spark, own = df.sparkSession, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    sizes = df.select(own.alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"))
+    chars, rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n = min(max(chars // chunk_chars, least or 2 * partitions(spark)), max(rows // 8, 1))
     if n < 2:
-        return np.zeros(0, np.int64)
-    shares = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, max(10_000, 4 * n))).first()[0] or []
-    return np.unique(np.array(bounds, np.int64))
-
-
-def with_chunk(df: DataFrame, id_col: str, bounds: np.ndarray, name: str = "__chunk") -> DataFrame:
-    """Adds the number of the id's range; ids ascend with it. A null id goes to chunk 0."""
-
-    @F.pandas_udf("int")
-    def chunk(ids):  # noqa: ANN001, ANN202
-        return ids.__class__(np.searchsorted(bounds, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="left").astype(np.int32))
-
-    return df.withColumn(name, chunk(F.col(id_col).cast("long")))
+        return df.withColumn(name, F.lit(0).cast("long")), 1
+    first = min(n, ranges)
+    drawn = sizes.sample(min(1.0, 2 * DRAWN * first / rows), 7).toArrow()  # about 2 * DRAWN rows a range at most
+    bounds = weighted_bounds(drawn["id"].to_numpy(), drawn["n"].to_numpy() + 1, first)
+    placed = df.withColumn(name, rank_among(own, bounds))
+    per = -(-n // first)
+    if per > 1:
+        cuts = placed.groupBy(F.col(name).alias("__range")).agg(F.percentile_approx(own, [i / per for i in range(1, per)], 4 * per + 1000).alias("__cuts"))
+        inner = F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < own))
+        placed = placed.join(materialise(cuts), F.col(name) == F.col("__range")).withColumn(name, F.col(name) * per + inner).drop("__range", "__cuts")
+    return placed, n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.common import materialise
+from curata.llm.common import Scratch, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,17 +24,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, root for each node that has an edge and isn't the least of its component; edges: (a, b) in any order.
 
-    Self-loops and repeated edges are ignored. Each round is written to the shared folder, so a lost executor costs a
-    round at most.
+    Self-loops and repeated edges are ignored. Each round is written to scratch or the shared folder, so a lost executor costs a round at
+    most.
     """
-    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    store = scratch.store if scratch else materialise
+    edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-        edges = materialise(_star(_star(edges, True), False))
+        edges = store(_star(_star(edges, True), False))

@@ -5,10 +5,13 @@ likeness t share at least k elements among the first |x| - ceil(t |x|) + k of ea
 prefix places and link nothing, which drops most documents. Equal sets become one node. Frequencies come from packed,
 sorted hashes, one a chunk of documents, so a shingle of a third of all documents is one entry a chunk.
 
-Links are then found in two steps. Stars: every node is checked against a few pivots of each of its prefix elements,
-which joins large groups of near copies in linear work. Completion: prefix elements whose nodes still lie in several
-components are indexed again, rare ones alone, frequent ones as pairs from prefixes extended to k = 2, and every pair of
-nodes across components is checked. So each link is checked or lies inside a component already found.
+The index has prefixes extended to k = 2: a rare element is a key of its own, and every two frequent elements of a prefix
+are one key. Linked sets share two elements of these prefixes, so they share a rare one or a pair of frequent ones. The
+class bound is the least document frequency at which pairs add no more keys than there are elements.
+
+Links are then found in two steps. Stars: every node is checked against a few pivots of each of its keys, which joins
+large groups of near copies in linear work. Completion: where a key's nodes still lie in several components, nodes of like
+size meet across them. So each link is checked or lies inside a component already found.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from curata.llm import common as C
 from curata.llm.components import components
 
 BASE, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Nodes that hold an element, above which it is indexed as pairs in the completion step. A pair index has the square of
-#: a prefix's entries, and meets two sets once for each two elements they share, so it pays for very frequent ones alone.
-FREQUENT = 4096
+#: Document frequencies that may part rare from frequent elements; counts of documents stop at the last.
+CLASSES = [2**k for k in range(1, 16)] + [65535]
+#: Nodes of one key that one task joins with all of the key.
+SPLIT = 2000
 #: Pivots tried for each element: the node with the fewest elements of its own, as an original among its edited copies
 #: has, and others by hash.
 PIVOTS = 3
@@ -65,7 +69,7 @@ def _send(chunk: int, hashes: np.ndarray, bits: int, n_buckets: int) -> pa.Table
     u = u - which.repeat(ends - starts) * np.uint64(-(-(1 << bits) // n_buckets))
     spans = list(zip(starts, ends, strict=True))
     return pa.table(
-        {"bucket": pa.array(which.astype(np.int32)), "chunk": pa.array(np.full(len(which), chunk, np.int32)), "hashes": pa.array([C.pack(u[s:e]) for s, e in spans], pa.binary()), "counts": pa.array([c[s:e].tobytes() for s, e in spans], pa.binary())},
+        {"bucket": pa.array(which.astype(np.int32)), "chunk": pa.array(np.full(len(which), chunk, np.int64)), "hashes": pa.array([C.pack(u[s:e]) for s, e in spans], pa.binary()), "counts": pa.array([c[s:e].tobytes() for s, e in spans], pa.binary())},
     )
 
 
@@ -81,12 +85,12 @@ def _reply(base: int, table: pa.Table) -> pa.Table:
     for chunk, s, e in zip(chunks, [0, *ends[:-1]], ends, strict=True):
         if len(x := h[s:e][keep := df[s:e] > 1]):
             out.append((chunk, C.pack(x), df[s:e][keep].tobytes()))
-    return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "hashes": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
+    return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
 
 
 def _marked(ids: pa.Array, text: pa.Array, told: pa.Table, n: int, percent: int, bits: int) -> dict:
     """Each document's set size and, if it can link at all, its node name, its set, the number of its elements that other
-    documents may hold, its parities (for each class of elements, whether it has an odd number) and its prefix."""
+    documents may hold, its parities (for each class of elements, whether it has an odd number), its prefix and the document frequencies in it."""
     sizes, offsets, hashes = shingle_sets(text, n)
     known = np.concatenate([np.zeros(0, np.uint64), *(C.unpack(x) for x in told["hashes"].to_pylist())])
     counts = np.frombuffer(b"".join(told["counts"].to_pylist()), np.uint16)
@@ -101,18 +105,18 @@ def _marked(ids: pa.Array, text: pa.Array, told: pa.Table, n: int, percent: int,
     shared = shared[offsets[1:]] - shared[offsets[:-1]]
     need = -(-percent * sizes // 100)
     rows = len(sizes)
-    node, sets, parities, prefixes = [None] * rows, [None] * rows, [None] * rows, [None] * rows
+    node, sets, parities, prefixes, freqs = ([None] * rows for _ in range(5))
     for i in np.flatnonzero((sizes > 0) & (shared >= need)):
         x, d = hashes[offsets[i] : offsets[i + 1]], df[offsets[i] : offsets[i + 1]]
         node[i] = xxhash.xxh3_128_hexdigest(x.tobytes())
         sets[i] = x.view(np.int64)
         order = np.lexsort((x, d))[: sizes[i] - need[i] + 2]
         order = order[d[order] > 1]
-        prefixes[i] = x[order].view(np.int64)
+        prefixes[i], freqs[i] = x[order].view(np.int64), d[order]
         odd = np.bincount(((x * np.uint64(SECOND)) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITIES) & 1
         parities[i] = np.packbits(odd).view(np.int64)
     longs = pa.list_(pa.int64())
-    return {"id": ids, "size": pa.array(sizes), "node": pa.array(node, pa.string()), "shared": pa.array(shared), "items": pa.array(sets, longs), "parities": pa.array(parities, longs), "prefix": pa.array(prefixes, longs)}
+    return {"id": ids, "size": pa.array(sizes), "node": pa.array(node, pa.string()), "shared": pa.array(shared), "items": pa.array(sets, longs), "parities": pa.array(parities, longs), "prefix": pa.array(prefixes, longs), "freqs": pa.array(freqs, longs)}
 
 
 def _alike(percent: int) -> Column:
@@ -144,17 +148,36 @@ def _labelled(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(roots.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _across(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def class_bound(nodes: DataFrame) -> int:
+    """The least document frequency in CLASSES above which pairs of a prefix's elements are no more than all elements."""
+    often = {t: F.size(F.filter("freqs", lambda d: d > t)).cast("long") for t in CLASSES}  # noqa: B023
+    elements, *pairs = nodes.agg(F.sum(F.size("freqs")), *(F.sum(n * (n - 1) / 2) for n in often.values())).first()
+    return next((t for t, n in zip(CLASSES, pairs, strict=True) if (n or 0) <= (elements or 0)), CLASSES[-1])
+
+
+def keys(nodes: DataFrame, bound: int) -> DataFrame:
+    """node, size, own, key, combined: the index. Rare elements alone; frequent ones, more than `bound` documents have them,
+    two and two."""
+    own = [F.col("node"), F.col("size"), (F.col("size") - F.col("shared")).alias("own")]
+    part = lambda frequent: F.filter("prefix", lambda x, i: (F.get("freqs", i) > bound) == frequent)
+    rare = nodes.select(*own, F.explode(part(False)).alias("key"), F.lit(False).alias("combined"))
+    often = nodes.select(*own, F.array_sort(part(True)).alias("its"))
+    pairs = often.select(*own[:2], "own", "its", F.posexplode("its").alias("i", "item")).select("node", "size", "own", "item", F.explode(F.expr("slice(its, i + 2, size(its))")).alias("second"))
+    return rare.unionAll(pairs.select("node", "size", "own", F.xxhash64("item", "second").alias("key"), F.lit(True).alias("combined")))
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one key in different components that may link: those outside the key's largest component meet
-    all of the key."""
-    per = rows.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy(*keys).agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("n_comps")).where("n_comps > 1").select(*keys, F.col("top.comp").alias("top"))
-    rows = rows.join(top, keys)
+    those of the key in bands of like size. A key of many nodes is split over several tasks."""
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("n")).where("n_comps > 1")
+    band = F.floor(F.log("size") / F.log(F.lit(100 / percent))).cast("int")  # linked sizes lie in one band or in two adjoining ones
+    rows = rows.join(top.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "key").withColumn("band", band)
     own = ["node", "size", "comp", "shared", "parities"]
-    few = rows.where("comp <> top").select(*keys, *own)
-    many = rows.select(*keys, *(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in own), "top")
+    few = rows.where("comp <> top").select("key", *own, F.pmod(F.xxhash64("node"), "parts").alias("part"), F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
+    many = rows.select("key", "band", *(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in own), "top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
     cond = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("top")) | (F.col("node") < F.col("other"))) & _close(percent) & _may_link(percent)
-    return few.join(many, keys).where(cond).select("node", "other")
+    return few.join(many, ["key", "band", "part"]).where(cond).select("node", "other")
 
 
 def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80, chunk_chars: int = C.CHUNK_CHARS) -> DataFrame:
@@ -166,13 +189,21 @@ def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, n: int
     own; a null id is kept and can be a component's least id only if all its ids are null. An empty table gives an empty
     result. Only id and text are read. Elements are 64-bit hashes, and nodes 128-bit hashes of sets.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    bounds = C.chunk_bounds(docs, "id", "text", chunk_chars)
-    n_buckets = max(2 * C.partitions(spark), (len(bounds) + 1) * chunk_chars // 6 // 4_000_000)
+    with C.Scratch(df.sparkSession) as scratch:
+        found = _components(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, percent, chunk_chars, scratch)
+        return C.materialise(found.withColumnRenamed("id", id_col))
+
+
+def _components(docs: DataFrame, n: int, percent: int, chunk_chars: int, scratch: C.Scratch) -> DataFrame:
+    """id, size, component, over tables in scratch."""
+    spark = docs.sparkSession
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    # Any deal of the documents will do; a hash of id and text spreads copies.
+    n_chunks = max(2 * C.partitions(spark), chars // chunk_chars)
+    chunked = docs.withColumn("__chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)))
+    n_buckets = max(2 * C.partitions(spark), n_chunks * chunk_chars // 6 // 4_000_000)
     # Hashes cut to these bits only ever count too many documents, for one element in a thousand or less.
-    bits = min(64, max(32, ((len(bounds) + 1) * chunk_chars).bit_length() + 8))
-    chunked = C.with_chunk(docs, "id", bounds)
+    bits = min(64, max(32, (n_chunks * chunk_chars).bit_length() + 8))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         return _send(key[0].as_py(), shingle_sets(table["text"].combine_chunks(), n)[2], bits, n_buckets)
@@ -181,43 +212,39 @@ def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, n: int
         return _reply(key[0].as_py() * -(-(1 << bits) // n_buckets), table)
 
     texts = chunked.groupBy("__chunk")  # used twice with the same columns, so that Spark shuffles them once
-    sent = texts.applyInArrow(send, "bucket int, chunk int, hashes binary, counts binary")
-    replies = sent.groupBy("bucket").applyInArrow(reply, "chunk int, hashes binary, counts binary")
+    sent = texts.applyInArrow(send, "bucket int, chunk long, hashes binary, counts binary")
+    replies = sent.groupBy("bucket").applyInArrow(reply, "chunk long, hashes binary, counts binary")
 
     def mark(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         return pa.table(_marked(table["id"].combine_chunks(), table["text"].combine_chunks(), told, n, percent, bits))
 
-    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("size long, node string, shared long, items array<long>, parities array<long>, prefix array<long>").fields])
-    marked = C.materialise(texts.cogroup(replies.groupBy("chunk")).applyInArrow(mark, schema))
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("size long, node string, shared long, items array<long>, parities array<long>, prefix array<long>, freqs array<long>").fields])
+    marked = scratch.store(texts.cogroup(replies.groupBy("chunk")).applyInArrow(mark, schema))
 
-    classes = marked.where("node is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "shared", "items", "parities", "prefix")))
-    named = C.materialise(classes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()))
+    classes = marked.where("node is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "shared", "items", "parities", "prefix", "freqs")))
+    named = scratch.store(classes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()))
     nodes = named.drop("name")
-    index = nodes.select("node", "size", (F.col("size") - F.col("shared")).alias("own"), F.explode("prefix").alias("item"))
+    index = keys(nodes, class_bound(nodes))
 
     # Stars.
-    pivots = index.groupBy("item").agg(*(F.min(F.struct((F.lit(0) if k else F.col("own")).cast("long").alias("own"), F.xxhash64(F.lit(k), "node").alias("h"), "node", "size")).alias(f"p{k}") for k in range(PIVOTS)), F.count(F.lit(1)).alias("n")).where("n > 1")
-    options = pivots.select("item", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p")).select("item", F.col("p.node").alias("other"), F.col("p.size").alias("other_size"))
-    star = index.drop("own").join(options, "item").where((F.col("node") != F.col("other")) & _close(percent))
-    edges = C.materialise(_verified(star.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")), nodes, percent))
-    roots = components(edges)
+    pivots = index.groupBy("key").agg(*(F.min(F.struct((F.lit(0) if k else F.col("own")).cast("long").alias("own"), F.xxhash64(F.lit(k), "node").alias("h"), "node", "size")).alias(f"p{k}") for k in range(PIVOTS)), F.count(F.lit(1)).alias("n")).where("n > 1")
+    options = pivots.select("key", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.size").alias("other_size"))
+    star = index.drop("own", "combined").join(options, "key").where((F.col("node") != F.col("other")) & _close(percent))
+    edges = scratch.store(_verified(star.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")), nodes, percent))
+    roots = components(edges, scratch)
 
     # Completion.
-    rows = _labelled(index.select("node", "item"), roots)
-    spread = rows.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo <> hi").select("item", (F.col("holders") > FREQUENT).alias("frequent"))
-    # Back to a row a node: its elements, no more than a prefix, that lie in several components.
-    mine = rows.join(spread, "item").groupBy("node", "comp").agg(*(F.collect_list(F.when(c, F.col("item"))).alias(k) for k, c in (("rare", ~F.col("frequent")), ("often", F.col("frequent")))))
-    open_ = C.materialise(mine.join(nodes.select("node", "size", "shared", "parities"), "node"))
-    own = ["node", "comp", "size", "shared", "parities"]
-    rare = _across(open_.select(*own, F.explode("rare").alias("item")), ["item"], percent)
-    often = open_.select(*own, F.array_sort("often").alias("its"))
-    left = often.select(*own, "its", F.posexplode("its").alias("i", "item")).select(*own, "item", F.explode(F.expr("slice(its, i + 2, size(its))")).alias("second"))
-    pairs = rare.unionAll(_across(left, ["item", "second"], percent))
-    more = C.materialise(_verified(pairs, nodes, percent))
+    rows = _labelled(index.select("node", "key"), roots)
+    spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    # Back to a row a node with those of its keys that lie in several components.
+    mine = rows.join(spread, "key").groupBy("node", "comp").agg(F.collect_list("key").alias("keys"))
+    open_ = scratch.store(mine.join(nodes.select("node", "size", "shared", "parities"), "node"))
+    pairs = _across(open_.select("node", "comp", "size", "shared", "parities", F.explode("keys").alias("key")), percent)
+    more = scratch.store(_verified(pairs, nodes, percent))
     if more.limit(1).count():
-        roots = components(edges.unionAll(more))
+        roots = components(edges.unionAll(more), scratch)
 
     own_node = named.select(F.col("name").alias("node"), F.col("node").alias("nid"))
     member = _labelled(marked.select("id", "size", "node").join(own_node, "node", "left").select("id", "size", F.col("nid").alias("node")), roots)
-    least = member.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    return member.join(least, "comp", "left").select(F.col("id").alias(id_col), "size", F.coalesce("least", "id").alias("component"))
+    least = scratch.store(member.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least")))  # so that its size is known
+    return member.join(least, "comp", "left").select("id", "size", F.coalesce("least", "id").alias("component"))

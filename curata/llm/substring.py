@@ -42,7 +42,7 @@ def packed_by_bucket(chunk: int, h: np.ndarray, second: np.ndarray, n_buckets: i
     which, starts = np.unique(b, return_index=True)
     ends = np.append(starts[1:], len(u))
     return pa.table(
-        {"bucket": pa.array(which.astype(np.int32)), "chunk": pa.array(np.full(len(which), chunk, np.int32)), "hashes": pa.array([C.pack(u[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())},
+        {"bucket": pa.array(which.astype(np.int32)), "chunk": pa.array(np.full(len(which), chunk, np.int64)), "hashes": pa.array([C.pack(u[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())},
     )
 
 
@@ -56,7 +56,7 @@ def _reply(key: tuple, table: pa.Table) -> pa.Table:
     later = np.zeros(len(h), bool)
     later[by[1:]] = h[by[1:]] == h[by[:-1]]
     out = [(int(chunks[i]), C.pack(x)) for i, x in enumerate(np.split(h[later], np.cumsum(np.bincount(owner[later], minlength=len(parts)))[:-1]) if parts else []) if len(x)]
-    return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), "hashes": pa.array([x[1] for x in out], pa.binary())})
+    return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary())})
 
 
 def removal_mask(ids: np.ndarray, offsets: np.ndarray, at: np.ndarray, h: np.ndarray, prior: np.ndarray, width: int) -> np.ndarray:
@@ -105,9 +105,8 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str, width: int = 13,
     table gives an empty result. Windows are taken for equal if 64 hash bits and the bucket, picked by a second hash, agree.
     """
     df = df.drop(*OWN)
-    bounds = C.chunk_bounds(df, id_col, text_col, chunk_chars)
-    n_buckets = max(2 * C.partitions(df.sparkSession), (len(bounds) + 1) * chunk_chars // 6 // BUCKET_HASHES)
-    chunked = C.with_chunk(df, id_col, bounds)
+    chunked, n_chunks = C.with_chunk(df, id_col, text_col, chunk_chars)
+    n_buckets = max(2 * C.partitions(df.sparkSession), n_chunks * chunk_chars // 6 // BUCKET_HASHES)
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in OWN.items())).fields])
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
@@ -115,8 +114,8 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str, width: int = 13,
         return packed_by_bucket(key[0].as_py(), h, second, n_buckets)
 
     texts = chunked.groupBy("__chunk")  # used twice with the same columns, so that Spark shuffles them once
-    sent = texts.applyInArrow(send, "bucket int, chunk int, hashes binary")
-    replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk int, hashes binary")
+    sent = texts.applyInArrow(send, "bucket int, chunk long, hashes binary")
+    replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk long, hashes binary")
 
     def remove(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         table = table.drop_columns(["__chunk"]).combine_chunks()

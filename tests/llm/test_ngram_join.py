@@ -58,15 +58,50 @@ def rows_of(seed):
     return rows
 
 
-@pytest.mark.parametrize("n,percent,seed,frequent,chunk", [(4, 85, 1, 64, 4_000_000), (5, 80, 2, 3, 3000)])
+@pytest.mark.parametrize("n,percent,seed,frequent,chunk", [(4, 85, 1, 64, 4_000_000), (5, 80, 2, 3, 3000), (5, 80, 3, None, 3000)])
 def test_against_brute_force(spark, monkeypatch, n, percent, seed, frequent, chunk):
-    monkeypatch.setattr("curata.llm.ngram_join.FREQUENT", frequent)
+    from curata.llm import ngram_join
+
+    if frequent:  # else the bound that the data give
+        monkeypatch.setattr(ngram_join, "class_bound", lambda nodes: frequent)
+    monkeypatch.setattr(ngram_join, "SPLIT", 7)
     rows = rows_of(seed)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, size int").repartition(5)
     got = near_duplicate_components(df, "doc_id", "text", n, percent, chunk_chars=chunk).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, n, percent)
 
 
+def test_links_come_from_both_classes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from curata.llm import ngram_join
+
+    seen, real = {}, ngram_join.keys
+
+    def spy(nodes, bound):
+        index = real(nodes, bound)
+        holders = index.groupBy("key", "combined").agg(F.countDistinct("node").alias("n")).where("n > 1")
+        seen.update({r.combined: r.n for r in holders.groupBy("combined").agg(F.count("key").alias("n")).collect()})
+        seen["bound"] = bound
+        return index
+
+    monkeypatch.setattr(ngram_join, "keys", spy)
+    rows = rows_of(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_duplicate_components(df, "doc_id", "text", 5, 80).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5, 80)
+    assert seen[True] > 0 and seen[False] > 0 and seen["bound"] in ngram_join.CLASSES
+
+
+def test_null_ids_string_ids_and_long_texts(spark):
+    words = [f"w{k * k % 7919}" for k in range(60_000)]
+    texts = [" ".join(words), " ".join(["other", *words[1:]]), None, "a b c d e f", "a b c d e f", "x" * 300_000]
+    df = spark.createDataFrame([(None if i == 4 else f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {(r.doc_id, r.size): r.component for r in near_duplicate_components(df, "doc_id", "text", 5, 80).collect()}
+    assert got["d0", max(s for d, s in got if d == "d0")] == got["d1", max(s for d, s in got if d == "d1")] == "d0"
+    assert got["d2", 0] == "d2" and got["d3", 2] == got[None, 2] == "d3" and got["d5", 1] == "d5"
+
+
 def test_empty(spark):
     assert near_duplicate_components(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
