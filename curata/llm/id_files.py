@@ -1,11 +1,12 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-A file is a Parquet container of chunks, ranges of ascending document ids. A chunk holds its documents' ids and sizes, the
-frequencies of its token ids (the order-0 prediction) and blocks of up to BLOCK ids. In a block, order 2 and order 1
-each predict one id: the one that last followed the same two or one ids, with a confidence from how often it was right.
-For each pair of confidences, adaptive counts mix the three predictions into the shares of "order 2 is right", "order 1
-is right" and "neither"; the range coder codes that, then, for neither, the id by order 0. Each block starts from the
-same empty state, so any block can be decoded with its chunk's frequencies alone, and carries a crc32 of its ids.
+A file is a Parquet container of chunks, ranges of ascending document ids. A chunk holds its documents' ids and sizes, its
+order-0 and order-1 predictions and blocks of up to BLOCK ids. Order 0 is a distribution over the chunk's distinct ids;
+order 1 is one over the successors of each frequent id; order 2 learns within the block which id last followed the same two
+ids, with a confidence from how often it was right. For each order-2 confidence and each class of order-1 context a block
+learns the weights of the three predictions, and the range coder codes the prediction that holds the id, by its weight, and
+the id by that prediction. Each block starts from the same state, so any block can be decoded with its chunk's predictions
+alone, and carries a crc32 of its ids.
 
 All blocks of a chunk are coded in step, one id of each block at a time, as numpy arrays over the blocks.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,192 +27,258 @@ from curata.llm import common as C
 from curata.llm.word_ids import WordEncoder
 
 BLOCK = 2048
-TABLE_BITS, ORDER0_BITS = 11, 20
-STEP, LIMIT = 24, 4000
-LOW32 = np.uint64(0xFFFFFFFF)
-FILE_SCHEMA = "chunk int, n_ids long, doc_ids array<{id}>, doc_sizes array<int>, symbols binary, frequencies binary, block_sizes array<int>, block_crc32 array<long>, blocks array<binary>"
+TABLE_BITS, MIX_BITS, ORDER1_BITS, ORDER0_BITS = 11, 12, 12, 18
+#: Occurrences of an id from which on it has a distribution of its own over what follows it, and of a pair in it.
+LEAST_CONTEXT, LEAST_PAIR = 512, 3
+#: Where a block's weights move to, by the prediction that held the id: order 2, order 1, order 0. Sums from below.
+TO_FIRST, TO_SECOND, RATE = np.array([4000, 48, 48]), np.array([4048, 4048, 96]), 5
+FULL = np.uint64(1 << 32)
+FILE_SCHEMA = "chunk long, n_ids long, doc_ids array<{id}>, doc_sizes array<int>, symbols binary, frequencies binary, successors binary, block_sizes array<int>, block_crc32 array<long>, blocks array<binary>"
+
+
+def shares(counts: np.ndarray, group: np.ndarray, groups: int, bits: int) -> np.ndarray:
+    """Frequencies of at least 1 that sum to 2 ^ bits in each group; rows of a group stand together."""
+    total = np.bincount(group, weights=counts, minlength=groups).astype(np.int64)
+    n = np.bincount(group, minlength=groups)
+    out = 1 + counts * ((1 << bits) - n)[group] // np.maximum(total, 1)[group]
+    rest = (1 << bits) - np.bincount(group, weights=out, minlength=groups).astype(np.int64)
+    by = np.lexsort((-out, group))
+    first = by[np.append(True, group[by][1:] != group[by][:-1])] if len(by) else by
+    out[first] += rest[group[first]]
+    return out
+
+
+@dataclass
+class Predictions:
+    """A chunk's order 0 and order 1. Entries are the successors of all contexts, then the distinct ids."""
+
+    symbols: np.ndarray  # the distinct ids, ascending; below, an id goes by its place here
+    freq: np.ndarray  # of each, sum 2 ^ ORDER0_BITS
+    contexts: np.ndarray  # ids that have successors, ascending
+    sizes: np.ndarray  # how many
+    successors: np.ndarray  # ascending within a context
+    succ_freq: np.ndarray  # sum 2 ^ ORDER1_BITS in each context
+
+    @classmethod
+    def of(cls, places: np.ndarray, symbols: np.ndarray) -> tuple[Predictions, np.ndarray]:
+        """The predictions, and for each id but the first its entry among the successors of the one before it, or -1."""
+        n = len(symbols)
+        freq = shares(np.bincount(places, minlength=n), np.zeros(n, np.int64), 1, ORDER0_BITS) if n else np.zeros(0, np.int64)
+        pairs, of, count = np.unique(places[:-1].astype(np.int64) * n + places[1:], return_inverse=True, return_counts=True)
+        total = np.bincount(places[:-1], minlength=n)
+        context, after = pairs // max(n, 1), pairs % max(n, 1)
+        kept = (total[context] >= LEAST_CONTEXT) & (count >= LEAST_PAIR) & (count << ORDER1_BITS >= total[context])
+        contexts, group, sizes = np.unique(context[kept], return_inverse=True, return_counts=True)
+        entry = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)[of]
+        del of
+        return cls(symbols, freq, contexts, sizes, after[kept], shares(count[kept], group, len(contexts), ORDER1_BITS)), entry
+
+    def pack(self) -> dict:
+        z = lambda *xs: zlib.compress(b"".join(np.asarray(x, t).tobytes() for x, t in xs), 6)
+        first = np.zeros(len(self.successors), bool)
+        first[np.cumsum(self.sizes) - self.sizes] = True
+        steps = np.where(first, self.successors, np.diff(self.successors, prepend=0))
+        head = (np.array([len(self.contexts), len(steps)]), "<u4")
+        return {
+            "symbols": z((np.diff(self.symbols.astype(np.int64), prepend=0), "<u4")),
+            "frequencies": z((self.freq, "<u4")),
+            "successors": z(head, (np.diff(self.contexts, prepend=0), "<u4"), (self.sizes, "<u4"), (steps, "<u4"), (self.succ_freq, "<u2")),
+        }
+
+    @classmethod
+    def unpack(cls, chunk: dict) -> Predictions:
+        raw = {k: zlib.decompress(chunk[k]) for k in ("symbols", "frequencies", "successors")}
+        n, m = np.frombuffer(raw["successors"], "<u4", 2).tolist()
+        rest = np.frombuffer(raw["successors"], "<u4", 2 * n + m, 8).astype(np.int64)
+        sizes, steps = rest[n : 2 * n], rest[2 * n :]
+        sums = np.cumsum(steps)
+        starts = np.cumsum(sizes) - sizes
+        succ = sums - np.repeat(sums[starts] - steps[starts], sizes)
+        freq = np.frombuffer(raw["successors"], "<u2", m, 8 + 4 * (2 * n + m)).astype(np.int64)
+        return cls(np.cumsum(np.frombuffer(raw["symbols"], "<u4"), dtype=np.uint32), np.frombuffer(raw["frequencies"], "<u4").astype(np.int64), np.cumsum(rest[:n]), sizes, succ, freq)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each entry its id, where its interval starts and the interval's size."""
+        start = lambda f, group_sizes: np.cumsum(f) - f - np.repeat((np.cumsum(f) - f)[np.cumsum(group_sizes) - group_sizes], group_sizes)
+        one = start(self.succ_freq, self.sizes) if len(self.sizes) else np.zeros(0, np.int64)
+        return np.concatenate([self.successors, np.arange(len(self.freq))]), np.concatenate([one, np.cumsum(self.freq) - self.freq]).astype(np.uint64), np.concatenate([self.succ_freq, self.freq]).astype(np.uint64)
+
+    def classes(self) -> np.ndarray:
+        """Of each id, and of no id at a block's start, the class of its successors: none, or by how many they are."""
+        out = np.zeros(len(self.symbols) + 1, np.int64)
+        out[self.contexts] = 1 + (self.sizes > 16) + (self.sizes > 64)
+        return out
+
+
+class _Mix:
+    """Order 2 and the weights of all blocks, each from the same start."""
+
+    def __init__(self, lanes: int) -> None:
+        self.table = np.zeros(lanes << TABLE_BITS, np.int32)  # (id + 1) << 2 | confidence
+        self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
+        self.row = np.arange(lanes, dtype=np.int64) << 4
+        start = np.array([[60, 3200], [600, 3400], [1400, 3600], [2600, 3800]])  # by confidence
+        own = np.repeat(start, 4, 0)
+        own[::4, 1] = own[::4, 0] + 48  # without successors
+        self.first, self.second = (np.tile(own[:, k], lanes).astype(np.int64) for k in (0, 1))
 
+    def learn(self, i: np.ndarray, g: np.ndarray, sure: np.ndarray, hit: np.ndarray, s1: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> None:
+        self.table[i] = np.where(hit, g + (sure < 3), np.where(sure >= 2, g - sure + (sure >> 1), s1 << 2))
+        self.first[row] = a + ((TO_FIRST[kind] - a) >> RATE)
+        self.second[row] = b + ((TO_SECOND[kind] - b) >> RATE)
 
-def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and their frequencies, each at least 1, with a sum of 2 ^ ORDER0_BITS."""
-    symbols, counts = np.unique(ids, return_counts=True)
-    if not len(symbols):
-        return symbols.astype(np.uint32), counts.astype(np.uint32)
-    freq = 1 + counts * ((1 << ORDER0_BITS) - len(symbols)) // counts.sum()
-    freq[np.argmax(freq)] += (1 << ORDER0_BITS) - freq.sum()
-    return symbols.astype(np.uint32), freq.astype(np.uint32)
 
+def _hash(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    return ((p2 * 0x2F0B4C47 + p1 * 0x9E3779B1) >> 15) & ((1 << TABLE_BITS) - 1)
 
-class _Lanes:
-    """The model and the coder's interval of blocks coded in step; the first n lanes are active."""
 
-    def __init__(self, lanes: int, freq: np.ndarray) -> None:
-        size = lanes << TABLE_BITS
-        self.guess2, self.guess1 = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        self.sure2, self.sure1 = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-        self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        self.mix = np.tile(np.array([[2, 1, 1 + 8]], np.int32), (lanes * 16, 1))
-        self.mix[:, 0] += (np.arange(lanes * 16) % 16 // 4 * 20).astype(np.int32)
-        self.mix[:, 1] += (np.arange(lanes * 16) % 4 * 10).astype(np.int32)
-        self.row = np.arange(lanes, dtype=np.int64) * 16
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.freq = freq.astype(np.uint64)
-        self.below = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
-
-    def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        mask = (1 << TABLE_BITS) - 1
-        i2 = self.base[:n] + (((self.p2[:n] * 0x2F0B4C47 + self.p1[:n] * 0x9E3779B1) >> 15) & mask)
-        i1 = self.base[:n] + ((self.p1[:n] * 0x9E3779B1 >> 13) & mask)
-        row = self.row[:n] + 4 * self.sure2[i2] + self.sure1[i1]
-        return i2, i1, self.guess2[i2], self.guess1[i1], row, self.mix[row]
-
-    def learn(self, n: int, s: np.ndarray, i2: np.ndarray, i1: np.ndarray, g2: np.ndarray, g1: np.ndarray, row: np.ndarray, shares: np.ndarray, kind: np.ndarray) -> None:
-        for guess, sure, i, g in ((self.guess2, self.sure2, i2, g2), (self.guess1, self.sure1, i1, g1)):
-            right, c = g == s, sure[i]
-            sure[i] = np.where(right, np.minimum(c + 1, 3), c >> 1)
-            guess[i] = np.where(right | (c < 2), s, g)
-        at = row * 3 + kind
-        flat = self.mix.reshape(-1)
-        flat[at] += STEP
-        full = flat[at] > LIMIT
-        if full.any():
-            self.mix[row[full]] = (self.mix[row[full]] >> 1) + 1
-        self.p2[:n] = self.p1[:n]
-        self.p1[:n] = s
-
-    def narrow(self, n: int, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        self.low[:n] += unit * start
-        self.range[:n] = unit * size
-
-    def ready(self, n: int) -> np.ndarray | None:
-        """Lanes whose next 32 bits must be moved out; an interval across a boundary of these gives up its upper part."""
-        low, width = self.low[:n], self.range[:n]
-        if not (small := width <= LOW32).any():
-            return None
-        at = np.flatnonzero(small)
-        lo, w = low[at], width[at]
-        rest = LOW32 - (lo & LOW32) + np.uint64(1)
-        self.range[at] = np.minimum(w, rest) << np.uint64(32)
-        return at
-
-
-def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, freq: np.ndarray) -> list[bytes]:
-    """symbols: places in freq, one block after another; sizes fall or stay equal from block to block."""
+def encode_blocks(places: np.ndarray, entry: np.ndarray, sizes: np.ndarray, model: Predictions) -> list[bytes]:
+    """places: ids by their place in the model, one block after another; all blocks but the last have equal sizes."""
     lanes, longest = len(sizes), int(sizes.max(initial=0))
     if not lanes:
         return []
-    grid = np.zeros((lanes, longest), np.int32)
-    grid[np.arange(longest)[None, :] < sizes[:, None]] = symbols
-    grid = np.ascontiguousarray(grid.T)
+    n_ids, inside = len(model.symbols), np.arange(longest)[None, :] < sizes[:, None]
+
+    def grid(x: np.ndarray, fill: int = 0) -> np.ndarray:
+        out = np.full((lanes, longest), fill, x.dtype)
+        out[inside] = x
+        return np.ascontiguousarray(out.T)
+
+    begins = np.cumsum(sizes) - sizes
+    p1 = np.concatenate([[n_ids], places[:-1]]).astype(np.int64)
+    p2 = np.concatenate([[n_ids], p1[:-1]])
+    p1[begins] = p2[begins] = n_ids
+    p2[(begins + 1)[sizes > 1]] = n_ids
+    g_hash, g_class = grid(_hash(p2, p1).astype(np.int16)), grid(model.classes().astype(np.uint8)[p1])
+    del p1, p2
+    own = np.concatenate([[-1], entry])
+    own[begins] = -1
+    plain = own < 0
+    _, start, freq = model.entries()
+    own = np.where(plain, len(model.successors) + places, own)
+    g_s1, g_kind, g_start, g_freq = grid((places + 1).astype(np.int32)), grid(plain.astype(np.int8) + np.int8(1)), grid(start.astype(np.uint32)[own]), grid(freq.astype(np.uint32)[own], 1)
+    del own, plain, inside
+    shift = np.array([0, ORDER1_BITS, ORDER0_BITS], np.uint64)
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    m, out, filled = _Lanes(lanes, freq), np.zeros((lanes, 2 * longest + 2), np.uint32), np.zeros(lanes, np.int64)
-
-    def move(n: int) -> None:
-        if (at := m.ready(n)) is not None:
-            out[at, filled[at]] = m.low[at] >> np.uint64(32)
-            filled[at] += 1
-            m.low[at] <<= np.uint64(32)
-
+    m, out, filled = _Mix(lanes), np.zeros((lanes, longest + 4), np.uint32), np.ones(lanes, np.int64)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    top, mix, none = np.int64(1 << MIX_BITS), np.uint64(MIX_BITS), np.uint64(0)
     with np.errstate(over="ignore"):
         for t in range(longest):
             n = int(active[t])
-            s = grid[t, :n]
-            i2, i1, g2, g1, row, shares = m.predict(n)
-            kind = np.where(s == g2, 0, np.where(s == g1, 1, 2))
-            total = shares.sum(1)
-            start = np.where(kind == 0, 0, shares[:, 0] + np.where(kind == 2, shares[:, 1], 0))
-            m.narrow(n, start.astype(np.uint64), np.take_along_axis(shares, kind[:, None], 1)[:, 0].astype(np.uint64), m.range[:n] // total.astype(np.uint64))
-            move(n)
-            miss = kind == 2
-            unit = m.range[:n] >> np.uint64(ORDER0_BITS)
-            m.low[:n] += np.where(miss, unit * m.below[s], np.uint64(0))
-            m.range[:n] = np.where(miss, unit * m.freq[s], m.range[:n])
-            move(n)
-            m.learn(n, s, i2, i1, g2, g1, row, shares, kind)
+            i, s1, kind = m.base[:n] + g_hash[t, :n], g_s1[t, :n], g_kind[t, :n]
+            g = m.table[i]
+            sure = g & 3
+            hit = g >> 2 == s1
+            row = m.row[:n] + ((sure << 2) + g_class[t, :n])
+            a, b = m.first[row], m.second[row]
+            kind = np.where(hit, 0, kind)
+            from_ = np.where(hit, 0, np.where(kind == 1, a, b))
+            to = np.where(hit, a, np.where(kind == 1, b, top))
+            unit = width[:n] >> mix
+            add, r = unit * from_.view(np.uint64), unit * (to - from_).view(np.uint64)
+            unit = r >> shift[g_kind[t, :n]]
+            add += np.where(hit, none, unit * g_start[t, :n])
+            width[:n] = r = np.where(hit, r, unit * g_freq[t, :n])
+            low[:n] += add
+            if (over := low[:n] < add).any():
+                for lane in np.flatnonzero(over).tolist():  # a carry into what has been moved out
+                    k = filled[lane] - 1
+                    while out[lane, k] == 0xFFFFFFFF:
+                        out[lane, k] = 0
+                        k -= 1
+                    out[lane, k] += 1
+            if len(at := np.flatnonzero(r < FULL)):
+                x = low[at]
+                out[at, filled[at]] = x >> np.uint64(32)
+                filled[at] += 1
+                low[at], width[at] = x << np.uint64(32), r[at] << np.uint64(32)
+            m.learn(i, g, sure, hit, s1, row, a, b, kind)
     every = np.arange(lanes)
     for k in (0, 1):
-        out[every, filled + k] = (m.low >> np.uint64(32 * (1 - k))).astype(np.uint32)
-    return [out[i, : filled[i] + 2].astype("<u4").tobytes() for i in range(lanes)]
+        out[every, filled + k] = (low >> np.uint64(32 * (1 - k))).astype(np.uint32)
+    return [out[i, 0 if out[i, 0] else 1 : filled[i] + 2].astype("<u4").tobytes() for i in range(lanes)]
 
 
-def decode_blocks(blocks: list[bytes], sizes: np.ndarray, freq: np.ndarray) -> np.ndarray:
-    """The symbols of all blocks, one block after another."""
+def decode_blocks(blocks: list[bytes], sizes: np.ndarray, model: Predictions) -> np.ndarray:
+    """The places of all blocks' ids, one block after another."""
     lanes, longest = len(sizes), int(sizes.max(initial=0))
     if not lanes:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     words = np.zeros((lanes, max(map(len, blocks)) // 4 + 3), np.uint64)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
+    for i, x in enumerate(blocks):
+        words[i, : len(x) // 4] = np.frombuffer(x, "<u4")
+    symbol, start, freq = model.entries()
+    symbol = symbol.astype(np.int32)
+    n_ids, n_successors = len(model.symbols), len(model.successors)
+    # For each place in a distribution the entry there: all contexts, then order 0.
+    entry_at = np.concatenate([np.repeat(np.arange(n_successors, dtype=np.int32), model.succ_freq), np.repeat(np.arange(n_successors, n_successors + n_ids, dtype=np.int32), model.freq)])
+    order0_at, classes = len(model.contexts) << ORDER1_BITS, model.classes()
+    context_at = np.zeros(n_ids + 1, np.int64)
+    context_at[model.contexts] = np.arange(len(model.contexts)) << ORDER1_BITS
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    m, grid, read = _Lanes(lanes, freq), np.zeros((longest, lanes), np.int32), np.full(lanes, 2, np.int64)
-    code = (words[:, 0] << np.uint64(32)) | words[:, 1]
-    # Order-0 symbols by the high bits of their place, then a short walk.
-    coarse = np.searchsorted(m.below, np.arange(1 << 14, dtype=np.uint64) << np.uint64(ORDER0_BITS - 14), side="right") - 1
-
-    def move(n: int) -> None:
-        if (at := m.ready(n)) is not None:
-            code[at] = (code[at] << np.uint64(32)) | words[at, read[at]]
-            read[at] += 1
-            m.low[at] <<= np.uint64(32)
-
+    m, grid, read = _Mix(lanes), np.zeros((longest, lanes), np.int32), np.full(lanes, 2, np.int64)
+    v, width = (words[:, 0] << np.uint64(32)) | words[:, 1], np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    p1, p2 = np.full(lanes, n_ids, np.int64), np.full(lanes, n_ids, np.int64)
+    mix, bits1, bits0 = np.uint64(MIX_BITS), np.uint64(ORDER1_BITS), np.uint64(ORDER0_BITS)
+    most1, most0 = np.int64((1 << ORDER1_BITS) - 1), np.int64((1 << ORDER0_BITS) - 1)
     with np.errstate(over="ignore"):
         for t in range(longest):
             n = int(active[t])
-            i2, i1, g2, g1, row, shares = m.predict(n)
-            total = shares.sum(1).astype(np.uint64)
-            unit = m.range[:n] // total
-            at = np.minimum((code[:n] - m.low[:n]) // unit, total - np.uint64(1)).astype(np.int64)
-            first, second = shares[:, 0], shares[:, 0] + shares[:, 1]
-            kind = (at >= first).astype(np.int64) + (at >= second)
-            start = np.where(kind == 0, 0, np.where(kind == 1, first, second))
-            m.narrow(n, start.astype(np.uint64), np.take_along_axis(shares, kind[:, None], 1)[:, 0].astype(np.uint64), unit)
-            move(n)
-            s = np.where(kind == 0, g2, g1)
-            miss = np.flatnonzero(kind == 2)
-            unit = m.range[miss] >> np.uint64(ORDER0_BITS)
-            place = np.minimum((code[miss] - m.low[miss]) // unit, np.uint64((1 << ORDER0_BITS) - 1))
-            found = coarse[(place >> np.uint64(ORDER0_BITS - 14)).astype(np.int64)]
-            step = 1
-            while len(behind := np.flatnonzero(m.below[found + 1] <= place)):
-                if step > 4:
-                    found[behind] = np.searchsorted(m.below, place[behind], side="right") - 1
-                    break
-                found[behind] += 1
-                step += 1
-            s[miss] = found
-            m.low[miss] += unit * m.below[found]
-            m.range[miss] = unit * m.freq[found]
-            move(n)
+            q1 = p1[:n]
+            i = m.base[:n] + _hash(p2[:n], q1)
+            g = m.table[i]
+            sure = g & 3
+            row = m.row[:n] + ((sure << 2) + classes[q1])
+            a, b = m.first[row], m.second[row]
+            x, unit = v[:n], width[:n] >> mix
+            t0, t1 = unit * a.view(np.uint64), unit * b.view(np.uint64)
+            hit, plain = x < t0, x >= t1
+            x = x - np.where(hit, np.uint64(0), np.where(plain, t1, t0))
+            r = np.where(hit, t0, np.where(plain, (unit << mix) - t1, t1 - t0))
+            unit = r >> np.where(plain, bits0, bits1)
+            place = np.minimum((x // np.maximum(unit, np.uint64(1))).view(np.int64), np.where(plain, most0, most1))
+            entry = entry_at[np.where(plain, order0_at, context_at[q1]) + place]
+            s = np.where(hit, (g >> 2) - 1, symbol[entry])
+            x = np.where(hit, x, x - unit * start[entry])
+            r = np.where(hit, r, unit * freq[entry])
+            if len(at := np.flatnonzero(r < FULL)):
+                r[at] <<= np.uint64(32)
+                x[at] = (x[at] << np.uint64(32)) | words[at, np.minimum(read[at], words.shape[1] - 1)]
+                read[at] += 1
+            v[:n], width[:n] = x, r
             grid[t, :n] = s
-            m.learn(n, s, i2, i1, g2, g1, row, shares, kind)
+            m.learn(i, g, sure, hit, s + 1, row, a, b, np.where(hit, 0, plain + 1))
+            p2[:n] = q1
+            p1[:n] = s
     grid = grid.T
-    return np.ascontiguousarray(grid)[np.arange(longest)[None, :] < sizes[:, None]]
+    return np.ascontiguousarray(grid)[np.arange(longest)[None, :] < sizes[:, None]].astype(np.int64)
 
 
 def encode_chunk(ids: np.ndarray) -> dict:
     """A chunk's ids as the columns of the file."""
-    symbols, freq = order0(ids)
+    symbols = np.flatnonzero(np.bincount(ids))  # vocabularies are small, so this takes the place of a sort
+    place_of = np.zeros(int(symbols.max(initial=0)) + 1, np.int64)
+    place_of[symbols] = np.arange(len(symbols))
+    places = place_of[ids]
+    model, entry = Predictions.of(places, symbols)
     sizes = np.full(-(-len(ids) // BLOCK), BLOCK, np.int64)
     if len(sizes):
         sizes[-1] = len(ids) - BLOCK * (len(sizes) - 1)
     flat = np.ascontiguousarray(ids, "<u4")
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    return {
-        "symbols": zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes(), 1),
-        "frequencies": zlib.compress(freq.astype("<u4").tobytes(), 1),
+    return model.pack() | {
         "block_sizes": sizes.tolist(),
         "block_crc32": [zlib.crc32(flat[s:e].view(np.uint8).data) for s, e in zip(cuts[:-1], cuts[1:], strict=True)],
-        "blocks": encode_blocks(np.searchsorted(symbols, ids).astype(np.int32), sizes, freq),
+        "blocks": encode_blocks(places, entry, sizes, model),
     }
 
 
 def decode_chunk(chunk: dict) -> np.ndarray:
     """A chunk's ids; a block whose checksum doesn't hold is an error."""
-    symbols = np.cumsum(np.frombuffer(zlib.decompress(chunk["symbols"]), "<u4"), dtype=np.uint32)
-    freq = np.frombuffer(zlib.decompress(chunk["frequencies"]), "<u4")
+    model = Predictions.unpack(chunk)
     sizes = np.array(chunk["block_sizes"], np.int64)
-    ids = symbols[decode_blocks(chunk["blocks"], sizes, freq)].astype("<u4") if len(sizes) else np.zeros(0, "<u4")
+    ids = model.symbols[decode_blocks(chunk["blocks"], sizes, model)].astype("<u4") if len(sizes) else np.zeros(0, "<u4")
     at = 0
     for k, (size, crc) in enumerate(zip(sizes.tolist(), chunk["block_crc32"], strict=True)):
         if zlib.crc32(ids[at : at + size].view(np.uint8).data) != crc:
@@ -219,23 +287,29 @@ def decode_chunk(chunk: dict) -> np.ndarray:
     return ids
 
 
-def write(df: DataFrame, id_col: str, text_col: str, path: str, tokenizer: str, end_id: int, chunk_chars: int = 8_000_000) -> None:
+def write(df: DataFrame, id_col: str, text_col: str, path: str, tokenizer: str, end_id: int, chunk_chars: int = 6_000_000) -> None:
     """Writes every text's ids and end_id to files at path, in ascending order of the document's id.
 
     A null or empty text is its end_id alone; a null id comes first; rows with equal ids stand side by side. Only id and
     text are read. An empty table gives files without chunks.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunked = C.with_chunk(docs, "id", C.chunk_bounds(docs, "id", "text", chunk_chars, df.sparkSession.sparkContext.defaultParallelism))
+    chunked, _ = C.with_chunk(docs, "id", "text", chunk_chars, df.sparkSession.sparkContext.defaultParallelism)
     kind = docs.schema["id"].dataType.simpleString()
 
     def encode(key: tuple, table: pa.Table) -> pa.Table:
+        id_type = table["id"].type
         table = table.sort_by([("id", "ascending")]) if table["id"].null_count == 0 else table.take(pa.compute.sort_indices(table, [("id", "ascending")], null_placement="at_start"))
-        offsets, ids = WordEncoder.of(tokenizer).encode(table["text"].combine_chunks())
-        all_ids = np.insert(ids, offsets[1:], np.uint32(end_id))
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for batch in C.small_batches(iter(table.combine_chunks().to_batches()), "text"):
+            offsets, ids = WordEncoder.of(tokenizer).encode(batch["text"])
+            parts.append(np.insert(ids, offsets[1:], np.uint32(end_id)))
+            sizes.append(np.diff(offsets) + 1)
+        all_ids, doc_ids = np.concatenate(parts), table["id"].to_pylist()
+        del parts, table
         row = encode_chunk(all_ids)
-        row |= {"chunk": key[0].as_py(), "n_ids": len(all_ids), "doc_ids": table["id"].to_pylist(), "doc_sizes": (np.diff(offsets) + 1).tolist()}
-        types = {"chunk": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(table["id"].type), "doc_sizes": pa.list_(pa.int32()), "symbols": pa.binary(), "frequencies": pa.binary(), "block_sizes": pa.list_(pa.int32()), "block_crc32": pa.list_(pa.int64()), "blocks": pa.list_(pa.binary())}
+        row |= {"chunk": key[0].as_py(), "n_ids": len(all_ids), "doc_ids": doc_ids, "doc_sizes": np.concatenate(sizes).tolist()}
+        types = {"chunk": pa.int64(), "n_ids": pa.int64(), "doc_ids": pa.list_(id_type), "doc_sizes": pa.list_(pa.int32()), "symbols": pa.binary(), "frequencies": pa.binary(), "successors": pa.binary(), "block_sizes": pa.list_(pa.int32()), "block_crc32": pa.list_(pa.int64()), "blocks": pa.list_(pa.binary())}
         return pa.table({k: pa.array([row[k]], t) for k, t in types.items()})
 
     chunked.groupBy("__chunk").applyInArrow(encode, FILE_SCHEMA.format(id=kind)).write.option("compression", "none").parquet(path)
@@ -253,13 +327,13 @@ def read(spark: SparkSession, path: str, id_col: str, with_ids: bool = False) ->
                 ids, sizes = decode_chunk(chunk), np.array(chunk["doc_sizes"], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 crc = [zlib.crc32(ids[s:e].view(np.uint8).data) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [pa.array(np.full(len(sizes), chunk["chunk"], np.int32)), batch.column("doc_ids")[i].values, pa.array(ends[:-1]), pa.array(sizes), pa.array(crc, pa.int64())]
+                columns = [pa.array(np.full(len(sizes), chunk["chunk"], np.int64)), batch.column("doc_ids")[i].values, pa.array(ends[:-1]), pa.array(sizes), pa.array(crc, pa.int64())]
                 names = ["chunk", "id", "at", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int64)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"chunk int, id {kind}, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = f"chunk long, id {kind}, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("chunk", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))  # two numbers a chunk
     out = files.mapInArrow(decode, schema).join(starts, "chunk")

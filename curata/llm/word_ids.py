@@ -20,7 +20,7 @@ PLAIN = "^[a-zß-öø-ÿ]+[.,]?$"
 #: Plain words that the library gets as one text, and texts a call.
 JOINED, CALL = 200, 200
 #: Words kept by one Python worker between batches, without a stop at their end.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
 
 
 class WordEncoder:

@@ -55,3 +55,26 @@ def test_files(spark, tmp_path):
     assert sorted(r.ids for r in got) == want
     I.write(df.limit(0), "doc_id", "text", f"file://{tmp_path}/e", PATH, 1)
     assert I.read(spark, f"file://{tmp_path}/e", "doc_id").count() == 0
+
+
+def test_predictions_beat_order_0():
+    rng = np.random.default_rng(4)
+    follows = rng.integers(0, 60, (60, 4))
+    ids = [0]
+    for k in rng.integers(0, 4, 60_000).tolist():
+        ids.append(int(follows[ids[-1], k]))
+    ids = np.array(ids, np.uint32)
+    chunk = I.encode_chunk(ids) | {"chunk": 0}
+    assert (I.decode_chunk(chunk) == ids).all()
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum() / 8
+    assert sum(map(len, chunk["blocks"])) < 0.6 * entropy * len(ids)
+
+
+def test_many_shapes_round_trip():
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        n, top = int(rng.integers(1, 7000)), int(rng.integers(1, 500))
+        ids = np.minimum(rng.zipf(1.3, n), top).astype(np.uint32) if k % 2 else np.repeat(rng.integers(0, top, n // 5 + 1), 5).astype(np.uint32)
+        chunk = I.encode_chunk(ids) | {"chunk": 0}
+        assert (I.decode_chunk(chunk) == ids).all()
