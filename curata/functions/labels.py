@@ -15,6 +15,7 @@ COMPOSITION_TYPES = ["single_dominant_subject", "central_person", "group_scene",
 COARSE_TONES = ["neutral", "serious", "urgent", "positive", "tense", "celebratory", "uncertain"]
 VISIBLE_TEXT_LABELS = ["none", "small_amount", "large_amount", "uncertain"]
 FACE_VISIBILITY_LABELS = ["none", "small_faces", "clear_face", "large_closeup_face", "uncertain"]
+YES_NO_UNCERTAIN = ["yes", "no", "uncertain"]
 PERSON_COUNT_LABELS = ["0", "1", "2", "3-5", "more_than_5", "uncertain"]
 
 #: Other names of labels.
@@ -94,8 +95,9 @@ def visible_text(x: Column, small: int = 30) -> Column:
     )
 
 
-def reliability(main: Column, roles: Column, composition: Column, style: Column, description: Column) -> Column:
-    """struct<score, usage>: 1 less penalties for what is missing, mixed or uncertain; penalties add in this order."""
+def reliability(main: Column, roles: Column, composition: Column, style: Column, description: Column, known: Column | None = None) -> Column:
+    """struct<score, usage>: 1 less penalties for what is missing, mixed or uncertain; penalties add in this order. Where
+    `known` doesn't hold there are no facts, which scores 0."""
     missing = lambda x: F.coalesce(x, F.lit("uncertain"))
     roles = F.coalesce(roles, F.array().cast("array<string>"))
     cost = lambda cond, x: F.when(cond, F.lit(-x)).otherwise(F.lit(0.0))
@@ -107,4 +109,6 @@ def reliability(main: Column, roles: Column, composition: Column, style: Column,
     score = score + cost(missing(style) == "uncertain", 0.10)
     score = score + cost(F.length(F.coalesce(description, F.lit(""))) < 10, 0.20)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    if known is not None:
+        score = F.when(known, score).otherwise(0.0)
     return F.struct(score.alias("score"), F.when(score >= 0.70, "strong").when(score >= 0.40, "soft").otherwise("ignore").alias("usage"))

@@ -42,9 +42,10 @@ def phrases(x: Column) -> Column:
 
 
 def distinct_ignoring_case(items: Column) -> Column:
-    """The first of each set of items that differ by case alone, in order."""
-    low = F.transform(items, F.lower)
-    return F.filter(items, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
+    """The first of each set of items that differ by case alone, in order: n log n, by sorting places by their text."""
+    placed = F.array_sort(F.transform(items, lambda p, i: F.struct(F.lower(p).alias("low"), i.alias("i"))))
+    first = let(placed, lambda a: F.filter(a, lambda x, j: (j == 0) | (F.get(a, j - 1)["low"] != x["low"])))
+    return let(items, lambda own: F.transform(F.array_sort(F.transform(first, lambda x: x["i"])), lambda i: F.get(own, i)))
 
 
 def dedupe_comma_phrases(x: Column, most: int = 32) -> Column:
@@ -61,15 +62,16 @@ def tokens(x: Column, pattern: str = WORD) -> Column:
 
 
 def most_repeats(words: Column, window: int = 3) -> Column:
-    """How often the commonest n-gram of an array of words stands in it. Sorts the n-grams: n log n, within one row."""
-    grams = let(words, lambda w: F.when(F.size(w) >= window, F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.array_join(F.slice(w, i, window), "\x1f"))).otherwise(F.array().cast("array<string>")))
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+    """How often the commonest n-gram of an array of words stands in it. Sorts 64-bit hashes of the n-grams and takes the
+    longest run of equal ones: n log n, within one row."""
+    hashes = lambda w: F.when(F.size(w) >= window, F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(window))))).otherwise(F.array().cast("array<bigint>"))
 
-    def step(acc: Column, g: Column) -> Column:
-        run = F.when(acc["last"] == g, acc["run"] + 1).otherwise(1)
-        return F.struct(g.alias("last"), run.alias("run"), F.greatest(acc["top"], run).alias("top"))
+    def longest(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i - 1) != F.get(s, i)))
+        runs = let(starts, lambda b: F.transform(b, lambda x, j: F.coalesce(F.get(b, j + 1), F.size(s)) - x))
+        return F.when(F.size(s) == 0, 0).otherwise(F.array_max(runs))
 
-    return F.aggregate(F.array_sort(grams), start, step, lambda acc: acc["top"])
+    return let(F.array_sort(let(words, hashes)), longest)
 
 
 def has_token_repetition(x: Column, window: int = 3, most: int = 3) -> Column:
@@ -149,13 +151,12 @@ def stable_seed(*parts: Column) -> Column:
 
 
 #: The style phrases that may go before or after a prompt.
-_FIGURES = "complete simplified people only, no realistic faces, no portraits, no close-up faces, no readable letters, no logos"
 STYLES = {
     "none": "",
-    "editorial": f"clean text-free editorial illustration, non-photorealistic news image, {_FIGURES}",
-    "symbolic": f"symbolic text-free editorial illustration, non-photorealistic news graphic, {_FIGURES}",
-    "flat_vector": f"flat vector text-free editorial illustration, clean news graphic, {_FIGURES}",
-    "silhouette": f"faceless silhouette text-free editorial illustration, simplified figures, {_FIGURES}",
+    "editorial": "clean text-free editorial illustration, non-photorealistic news image, complete simplified people only, no realistic faces, no portraits, no close-up faces, no readable letters, no logos",
+    "symbolic": "symbolic text-free editorial illustration, non-photorealistic news graphic, complete simplified people only, no realistic faces, no portraits, no close-up faces, no readable letters, no logos",
+    "flat_vector": "flat vector text-free editorial illustration, clean news graphic, complete simplified people only, no realistic faces, no portraits, no close-up faces, no readable letters, no logos",
+    "silhouette": "faceless silhouette text-free editorial illustration, simplified figures, complete simplified people only, no realistic faces, no portraits, no close-up faces, no readable letters, no logos",
 }
 
 
@@ -178,6 +179,19 @@ def text_list(json_or_text: Column, splits: bool = True) -> Column:
     return F.filter(F.transform(F.when(s.startswith("[") & items.isNotNull(), items).otherwise(own), clean_text), lambda x: x != "")
 
 
+def entities(json_or_text: Column) -> Column:
+    """struct<texts, roles> of named entities: texts as they stand, or objects with a text and a role_in_title, else a role."""
+    s = clean_text(json_or_text)
+    items = F.from_json(json_or_text, "array<string>")
+    own = F.when(s.startswith("[") & items.isNotNull(), items).otherwise(F.array(s))
+    is_object = lambda x: F.coalesce(x.startswith("{"), F.lit(False))
+    get = lambda x, k: clean_text(F.get_json_object(x, f"$.{k}"))
+    texts = F.transform(own, lambda x: F.when(is_object(x), get(x, "text")).otherwise(clean_text(x)))
+    roles = F.transform(F.filter(own, is_object), lambda x: F.when(get(x, "role_in_title") != "", get(x, "role_in_title")).otherwise(get(x, "role")))
+    full = lambda a: F.filter(a, lambda x: x != "")
+    return F.struct(full(texts).alias("texts"), full(roles).alias("roles"))
+
+
 def text_value(json_or_text: Column) -> Column:
     """A value as one text: a JSON array's non-empty elements joined by a comma and a space."""
     s = clean_text(json_or_text)

@@ -32,10 +32,12 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def split_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Adds is_first: whether the row is its key's first. The least order comes from a partial aggregate and is joined
-    back, so the rows of a hot key aren't gathered in a window."""
-    first = df.groupBy(key).agg(F.min(order).alias("__first"))
-    return df.join(first, key).withColumn("is_first", F.col(order) == F.col("__first")).drop("__first")
+    """Adds is_first: whether the row is its key's first; a null key is a key like any other. The least order comes from a
+    partial aggregate and is joined back, so the rows of a hot key aren't gathered in a window. Rows of equal key and order
+    are told apart by a hash of all their columns; rows equal in all of them are both first."""
+    rows = df.withColumn("__order", F.struct(F.col(order).alias("order"), F.xxhash64(*df.columns).alias("tie")))
+    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__order").alias("__first"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn("is_first", F.col("__order") == F.col("__first")).drop("__first", "__key", "__order")
 
 
 def first_reason(reasons: list[tuple[str, Column]], otherwise: str) -> Column:

@@ -66,29 +66,40 @@ RISKY = [
 ]
 
 TU = {"headline_core": "string", "named_entities": "list", "entity_roles": "list", "main_event_or_issue": "string", "implied_context": "string", "relation": "string", "visual_risks": "list", "what_should_not_be_emphasized": "list"}
+#: Names of an older schema that still count.
+OLD_NAMES = {"relation": "causal_or_logical_relation", "what_should_not_be_emphasized": "what_is_not_the_point"}
 GP = {"image_role": "string", "required_visual_cues": "list", "optional_visual_cues": "list", "forbidden_or_misleading_cues": "list", "visual_strategy": "string", "framing": "string", "abstractness": "string"}
 
 
-def entries(df: DataFrame, row: str, scope: str, value: Column) -> DataFrame:
-    """row, scope, pos, key, value: a line for each entry of a JSON object in text."""
-    parsed = F.map_entries(F.from_json(value, "map<string,string>", STRICT))
-    return df.select(row, F.lit(scope).alias("scope"), F.posexplode(parsed).alias("pos", "e")).select(row, "scope", "pos", "e.key", "e.value")
+def with_mapped(df: DataFrame, object_: str, expected: list[str], scope: str, name: str) -> DataFrame:
+    """Adds name (map of expected key to value) and name_notes for a map of an object's entries, in the order of the entries.
 
-
-def mapped(lines: DataFrame, row: str, expected: list[str], scope: str) -> DataFrame:
-    """row, fields (map of expected key to value), notes: the first non-empty value of each key, with what was changed."""
-    named = stored(K.map_keys(stored(lines), "key", expected))
-    full = T.clean_text(F.col("value")) != ""
-    kept = named.where("mapped is not null").groupBy(row, "mapped").agg(
-        F.coalesce(F.min_by(F.when(full, F.col("value")), F.when(full, F.col("pos"))), F.max_by("value", "pos")).alias("value"),
-        F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("uses"),
-    )
-    changed = F.filter(F.col("uses"), lambda u: u["key"] != F.col("mapped"))
-    notes = F.transform(changed, lambda u: F.concat(F.lit(f"fuzzy_key:{scope}:"), u["key"], F.lit("->"), F.col("mapped")))
-    extra = F.when(F.size("uses") > 1, F.array(F.concat(F.lit(f"duplicate_mapped_key_ignored:{scope}:"), F.col("mapped")))).otherwise(F.array().cast("array<string>"))
-    fields = kept.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("mapped", "value"))).alias("fields"), F.array_sort(F.flatten(F.collect_list(F.concat(notes, extra)))).alias("key_notes"))
-    lost = named.where("mapped is null").groupBy(row).agg(F.array_sort(F.collect_list(F.concat(F.lit(f"unmapped_key:{scope}:"), F.col("key")))).alias("lost"))
-    return fields.join(lost, row, "full").select(row, "fields", F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("key_notes", "lost"))).alias("notes"))
+    The first non-empty value of a key counts, else its last. Notes: an unmapped key, a key whose expected key has a value
+    already, a key that isn't the expected one itself. Everything stays in the row: no shuffle.
+    """
+    keys, native, open_ = f"__{name}_keys", f"__{name}_native", f"__{name}_open"
+    df = df.withColumn(keys, F.map_keys(object_))
+    df = df.withColumn(native, F.transform(keys, lambda k: K.native_key(k, expected)))
+    df = df.withColumn(open_, F.filter(keys, lambda k, i: F.get(native, i).isNull()))
+    df = df.withColumn(f"{open_}_mapped", K.close_keys(F.col(open_), expected))
+    found = lambda k, i: F.coalesce(F.get(native, i), F.get(f"{open_}_mapped", F.array_position(F.col(open_), k).cast("int") - 1))
+    values = F.map_values(object_)
+    lines = F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value"), (T.clean_text(F.get(values, i)) != "").alias("full"), found(k, i).alias("to"), i.alias("i")))
+    df = df.withColumn(f"{name}_lines", lines)
+    rows = F.col(f"{name}_lines")
+
+    def note(e: Column) -> Column:
+        taken = F.exists(rows, lambda x: (x["i"] < e["i"]) & (x["to"] == e["to"]) & x["full"])
+        say = lambda kind, tail="": F.concat(F.lit(f"{kind}:{scope}:"), e["key"], *( [F.lit("->"), e["to"]] if tail else []))
+        return F.when(e["to"].isNull(), say("unmapped_key")).when(F.coalesce(taken, F.lit(False)), say("duplicate_mapped_key_ignored", "to")).when(e["key"] != e["to"], say("fuzzy_key", "to"))
+
+    def value(key: str) -> Column:
+        own = F.filter(rows, lambda x: F.coalesce(x["to"] == key, F.lit(False)))
+        return F.coalesce(F.get(F.filter(own, lambda x: x["full"]), 0)["value"], F.try_element_at(own, F.lit(-1))["value"])
+
+    fields = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, expected)), F.array(*map(value, expected))), lambda _, v: v.isNotNull())
+    df = df.withColumns({name: F.when(rows.isNotNull(), fields), f"{name}_notes": F.filter(F.transform(rows, note), lambda n: n.isNotNull())})
+    return df.drop(keys, native, open_, f"{open_}_mapped", f"{name}_lines")
 
 
 @lru_cache(100_000)
@@ -112,19 +123,25 @@ def canonical(df: DataFrame, row: str, raw: str, title: str) -> DataFrame:
 
     Output that can't be parsed gives an empty plan with the fills that any plan gets; nulls count as empty.
     """
+    # Each step is written, narrow and without a shuffle: one plan of all steps grows beyond what the optimizer can handle.
     parsed = stored(df.select(row, F.col(title).alias("title"), parse_object(F.coalesce(raw, F.lit("")))["object"].alias("object")))
-    top = stored(mapped(parsed.select(row, F.posexplode("object").alias("pos", "key", "value")).withColumn("scope", F.lit("top")), row, K.TOP_KEYS, "top"))
-    parts = {}
-    for key, fields in (("title_understanding", TU), ("generation_plan", GP)):
-        lines = entries(top, row, key, F.try_element_at("fields", F.lit(key)))
-        parts[key] = stored(mapped(lines, row, list(fields), key).select(row, F.col("fields").alias(key), F.col("notes").alias(f"{key}_notes")))
-    full = parsed.select(row, "title", F.col("object").isNotNull().alias("parse_ok")).join(top, row, "left")
-    for key, part in parts.items():
-        full = full.join(part, row, "left")
+    full = stored(with_mapped(parsed, "object", K.TOP_KEYS, "top", "fields").withColumnRenamed("fields_notes", "notes"))
+    parts = {"title_understanding": [*TU, *OLD_NAMES.values()], "generation_plan": list(GP)}
+    for key, fields in parts.items():
+        inner = F.from_json(F.try_element_at("fields", F.lit(key)), "map<string,string>", STRICT)
+        full = stored(with_mapped(full.withColumn("__object", inner), "__object", fields, key, key).drop("__object"))
+    full = full.withColumn("parse_ok", F.col("object").isNotNull()).drop("object")
 
     get = lambda m, k: F.try_element_at(m, F.lit(k))
     some = lambda m, k, kind: T.text_list(F.coalesce(get(m, k), F.lit(""))) if kind == "list" else T.text_value(F.coalesce(get(m, k), F.lit("")))
     own = {("title_understanding", k): some("title_understanding", k, v) for k, v in TU.items()} | {("generation_plan", k): some("generation_plan", k, v) for k, v in GP.items()}
+    named = T.entities(F.coalesce(get("title_understanding", "named_entities"), F.lit("")))
+    roles = own["title_understanding", "entity_roles"]
+    own["title_understanding", "named_entities"] = named["texts"]
+    own["title_understanding", "entity_roles"] = F.when(F.size(roles) > 0, roles).otherwise(named["roles"])
+    for k, old in OLD_NAMES.items():
+        x, y = own["title_understanding", k], some("title_understanding", old, TU[k])
+        own["title_understanding", k] = F.when((F.size(x) > 0) if TU[k] == "list" else (x != ""), x).otherwise(y)
     closed = {"visual_strategy": STRATEGIES, "abstractness": ABSTRACTNESS}
     full = full.withColumns({f"__{k}": own["generation_plan", k] for k in closed})
     full = full.withColumns({f"__{k}_mapped": allowed_value(F.col(f"__{k}"), allowed) for k, allowed in closed.items()})
