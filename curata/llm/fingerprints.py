@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.llm.common import ASCII_SPACE, partitions
+from curata.llm.common import ASCII_SPACE, with_chunk
 
 WIDTH, INNER = 5, 2
 #: Characters of a block of documents that lie together in id order.
@@ -63,21 +63,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(share)
 
 
+def in_place(a: Column, b: Column) -> Column:
+    """Positional likeness: Jaccard over anchors with their positions, so an anchor counts as shared only where it first
+    stands at the same word of both texts; two empty ones are alike."""
+    share = _let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(share)
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds next_text: the text of the next row by ascending id, of the first after the last; rows with equal ids follow by
     the hash of their text. Only id and text are kept.
 
-    Ids fall into blocks of equal width, as many as block_chars asks for; each block sorts its own rows. The first row of
+    Ids fall into ranges of about block_chars characters; each block sorts its own rows. The first row of
     each block is copied to the end of the block before, so texts are shuffled once and no task holds all rows. A null id
     comes first.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("text"))
-    chars, lo, hi = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.min("id"), F.max("id")).first()
-    n = max(2 * partitions(df.sparkSession), chars // block_chars)
-    lo, hi = lo or 0, hi or 0
-    width = max(1, -(-(hi - lo + 1) // n))
-    placed = docs.withColumn("block", F.coalesce(F.floor((F.col("id").cast("decimal(38,0)") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1)))
+    placed, _ = with_chunk(docs, "id", "text", block_chars, name="block")
     # Block -> its first row and the block before it, round the ring; a row a block.
     firsts = placed.groupBy("block").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("first"))
     ring = Window.orderBy("block")

@@ -21,6 +21,10 @@ from curata.llm import common as C
 from curata.llm.word_ids import WordEncoder
 
 
+#: Pieces of a part, in which one task ranks those of one length.
+PART_PIECES = 100_000
+
+
 class CapacityTree:
     """A segment tree over remaining capacities 0 to n: which of them have an open bin."""
 
@@ -139,8 +143,10 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int
     from 0. The driver gets the counts of lengths, at most `capacity` numbers.
     """
     spark = df.sparkSession
-    made = C.materialise(pieces(df, id_col, text_col, tokenizer, end_id, capacity, with_ids).withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(8 * C.partitions(spark)))))
+    made = C.materialise(pieces(df, id_col, text_col, tokenizer, end_id, capacity, with_ids))
     counts = {r[0]: r[1] for r in made.groupBy("length").count().collect()}
+    n_parts = max(C.partitions(spark), sum(counts.values()) // PART_PIECES)
+    made = made.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(n_parts)))
     plan, _ = best_fit_decreasing(counts, capacity)
     shared = spark.sparkContext.broadcast({k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in plan.items()})  # grows with capacity, not with the rows
 

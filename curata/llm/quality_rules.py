@@ -133,8 +133,8 @@ def apply_rules(df: DataFrame, text_col: str, groups: tuple[str, ...] = ("lang",
     columns named like the added ones are replaced.
     """
     own = ("base_failed", "kept")
-    measured = C.materialise(with_metrics(df.drop(*own), text_col))
-    limits = thresholds(measured, list(groups))
+    measured = with_metrics(df.drop(*own), text_col)  # measured once for the sketches and again for the verdicts
+    limits = C.materialise(thresholds(with_metrics(df.select(text_col, *groups), text_col), list(groups)))  # a row a group: Spark knows its size
     limits = limits.select(*(F.col(g).alias(f"__{g}") for g in groups), *(F.col(r).alias(f"__limit_{r}") for r in RATES))
     on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

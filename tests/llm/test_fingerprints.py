@@ -55,3 +55,31 @@ def test_long_texts_keep_all_anchors(spark):
 
 def test_empty_table(spark):
     assert f.fingerprints(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_positional_likeness(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(0, words), (1, words[:200] + ["x"] * 100), (2, ["extra", *words]), (3, words)]
+    prints = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").select("doc_id", f.anchors(F.col("text")).alias("p"))
+    pairs = prints.crossJoin(prints.where("doc_id = 0").select(F.col("p").alias("o")))
+    got = {r.doc_id: (r.s, r.l, r.p, r.o) for r in pairs.select("doc_id", "p", "o", f.in_place(F.col("p"), F.col("o")).alias("s"), f.likeness(F.col("p"), F.col("o")).alias("l")).collect()}
+    for s, _, p, o in got.values():
+        x, y = {tuple(e) for e in p}, {tuple(e) for e in o}
+        assert s == len(x & y) / len(x | y)
+    assert got[3][0] == 1.0 and got[2][0] == 0.0 and got[2][1] > 0.9 and 0.4 < got[1][0] < 0.9
+
+
+def test_far_ids_negative_ids_and_long_texts(spark):
+    rows = [(k, f"text {k}") for k in range(3000)] + [(2**62, "far"), (-(2**62), "deep"), (7, "a " * 200_000), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {(r.doc_id, r.text[:20]): r.next_text[:20] for r in f.with_next(df, "doc_id", "text", block_chars=1000).collect()}
+    assert len(got) == len(rows)
+    assert got[None, "none"] == "deep" and got[-(2**62), "deep"] == "text 0" and got[2999, "text 2999"] == "far" and got[2**62, "far"] == "none"
+    assert all(got[k, f"text {k}"] == f"text {k + 1}" for k in range(2999) if k not in (6, 7))
+
+
+def test_string_ids_are_refused(spark):
+    import pytest
+
+    with pytest.raises(TypeError, match="integers"):
+        f.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "doc_id", "text")
