@@ -20,17 +20,35 @@ PERSON_COUNT_LABELS = ["0", "1", "2", "3-5", "more_than_5", "uncertain"]
 
 #: Other names of labels.
 ALIASES = {
-    "photograph": ["photo", "real_photo", "real_photograph", "news_photograph"],
-    "stock_photograph": ["stock_photo", "stock_image"],
-    "non_photorealistic_illustration": ["illustration", "non_photorealistic", "non_photorealistic_image"],
-    "editorial_cartoon": ["cartoon"],
-    "poster_or_logo": ["poster", "logo", "poster_logo", "brand_logo"],
-    "data_visualization": ["data_visualisation"],
-    "institution": ["building", "government_building", "institutional_building", "church", "school", "courthouse", "court"],
-    "document_or_screenshot": ["document_screenshot", "screenshot_or_document", "page"],
-    "symbolic_editorial_scene": ["symbolic_scene"],
-    "object_metaphor": ["object_metaphorical"],
-    "map_based_representation": ["map_based"],
+    "text_heavy": "text_heavy",
+    "photo": "photograph",
+    "real_photo": "photograph",
+    "real_photograph": "photograph",
+    "news_photograph": "photograph",
+    "stock_photo": "stock_photograph",
+    "stock_image": "stock_photograph",
+    "illustration": "non_photorealistic_illustration",
+    "non_photorealistic": "non_photorealistic_illustration",
+    "non_photorealistic_image": "non_photorealistic_illustration",
+    "cartoon": "editorial_cartoon",
+    "poster": "poster_or_logo",
+    "logo": "poster_or_logo",
+    "poster_logo": "poster_or_logo",
+    "brand_logo": "poster_or_logo",
+    "data_visualisation": "data_visualization",
+    "building": "institution",
+    "government_building": "institution",
+    "institutional_building": "institution",
+    "church": "institution",
+    "school": "institution",
+    "courthouse": "institution",
+    "court": "institution",
+    "document_screenshot": "document_or_screenshot",
+    "screenshot_or_document": "document_or_screenshot",
+    "page": "document_or_screenshot",
+    "symbolic_scene": "symbolic_editorial_scene",
+    "object_metaphorical": "object_metaphor",
+    "map_based": "map_based_representation",
 }
 
 
@@ -41,8 +59,8 @@ def _strings(xs: list[str]) -> Column:
 def _known(label: Column) -> Column:
     """The label itself, or the one that it is another name of."""
     out = F.when(label.isNull(), label)
-    for target, names in ALIASES.items():
-        out = out.when(label.isin(names), target)
+    for target in dict.fromkeys(ALIASES.values()):
+        out = out.when(label.isin([name for name, to in ALIASES.items() if to == target]), target)
     return out.otherwise(label)
 
 
