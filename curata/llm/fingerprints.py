@@ -66,7 +66,8 @@ def likeness(a: Column, b: Column) -> Column:
 def in_place(a: Column, b: Column) -> Column:
     """Positional likeness: Jaccard over anchors with their positions, so an anchor counts as shared only where it first
     stands at the same word of both texts; two empty ones are alike."""
-    share = _let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
+    placed = lambda p: F.transform(p, lambda e: F.xxhash64(e["hash"], e["at"]))  # noqa: E731 - sets of structs are compared pair by pair
+    share = _let(F.size(F.array_intersect(placed(a), placed(b))), lambda both: both / (F.size(a) + F.size(b) - both))
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(share)
 
 
