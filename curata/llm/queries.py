@@ -69,6 +69,7 @@ def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         f.shown(F.col("edited_anchors")).alias("edited_fingerprint"),
         f.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
         f.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        f.in_place(F.col("anchors"), F.col("edited_anchors")).alias("placed_edited"),
     )
 
 
