@@ -115,7 +115,8 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class SpanMemo:
-    """Ids of strings, kept by one Python worker between batches: at most `most` strings, then it starts anew."""
+    """Ids of strings, kept by one Python worker between batches: at most `most` strings. Then those that were asked for
+    again stay, or none where these are more than half."""
 
     def __init__(self, most: int) -> None:
         self.most = most
@@ -124,6 +125,15 @@ class SpanMemo:
     def forget(self) -> None:
         self.known: pa.Array = pa.array([], pa.large_binary())
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def shrink(self) -> None:
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > self.most:
+            return self.forget()
+        self.known, sizes = self.known.take(pa.array(kept)), self.sizes[kept]
+        self.ids = self.ids[spans(self.starts[kept], sizes)]
+        self.starts, self.sizes, self.again = np.cumsum(sizes) - sizes, sizes, np.zeros(len(kept), bool)
 
     def places(self, keys: pa.Array, learn: Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The memo's entry of each of the distinct keys. What isn't in it yet goes to learn(places in keys, strings), which
@@ -132,13 +142,18 @@ class SpanMemo:
         at = pc.index_in(keys, value_set=self.known)
         place = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
         if len(place) and len(self.known) and len(self.known) + len(place) > self.most:
-            self.forget()
-            return self.places(keys, learn)
+            self.again[at.drop_null().to_numpy()] = True
+            before = len(self.known)
+            self.shrink()
+            if len(self.known) < before:
+                return self.places(keys, learn)
         fresh = keys.take(pa.array(place))
         sizes, ids = learn(place, fresh.to_pylist())
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
         out = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        self.again[out[at.is_valid().to_numpy(zero_copy_only=False)]] = True
+        self.again = np.concatenate([self.again, np.zeros(len(place), bool)])
         out[place] = len(self.known) + np.arange(len(place))
         self.known = pa.concat_arrays([self.known, fresh])
         return out

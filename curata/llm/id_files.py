@@ -27,11 +27,16 @@ from curata.llm import common as C
 from curata.llm.word_ids import WordEncoder
 
 BLOCK = 2048
-TABLE_BITS, MIX_BITS, ORDER1_BITS, ORDER0_BITS = 11, 12, 12, 18
+TABLE_BITS, MIX_BITS, ORDER1_BITS, ORDER0_BITS = 11, 16, 12, 18
 #: Occurrences of an id from which on it has a distribution of its own over what follows it, and of a pair in it.
 LEAST_CONTEXT, LEAST_PAIR = 512, 3
-#: Where a block's weights move to, by the prediction that held the id: order 2, order 1, order 0. Sums from below.
-TO_FIRST, TO_SECOND, RATE = np.array([4000, 48, 48]), np.array([4048, 4048, 96]), 5
+#: Where a block's weights move to, by the prediction that held the id: order 2, order 1, order 0. Sums from below, the
+#: first in the low half of a number and the second in the high half, so that both move by one operation.
+RATE = 5
+TO = np.array([first | second << 32 for first, second in ((64000, 64768), (768, 64768), (768, 1536))], np.uint64) >> np.uint64(RATE)
+LOW, HALF, MOVED = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(0x7FF000007FF)
+#: Confidences of order 2, in an entry's bits below the id.
+LEAST_SURE, SURE = 4, 12
 FULL = np.uint64(1 << 32)
 FILE_SCHEMA = "chunk long, n_ids long, doc_ids array<{id}>, doc_sizes array<int>, symbols binary, frequencies binary, successors binary, block_sizes array<int>, block_crc32 array<long>, blocks array<binary>"
 
@@ -64,14 +69,25 @@ class Predictions:
         """The predictions, and for each id but the first its entry among the successors of the one before it, or -1."""
         n = len(symbols)
         freq = shares(np.bincount(places, minlength=n), np.zeros(n, np.int64), 1, ORDER0_BITS) if n else np.zeros(0, np.int64)
-        pairs, of, count = np.unique(places[:-1].astype(np.int64) * n + places[1:], return_inverse=True, return_counts=True)
         total = np.bincount(places[:-1], minlength=n)
-        context, after = pairs // max(n, 1), pairs % max(n, 1)
-        kept = (total[context] >= LEAST_CONTEXT) & (count >= LEAST_PAIR) & (count << ORDER1_BITS >= total[context])
-        contexts, group, sizes = np.unique(context[kept], return_inverse=True, return_counts=True)
-        entry = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)[of]
-        del of
-        return cls(symbols, freq, contexts, sizes, after[kept], shares(count[kept], group, len(contexts), ORDER1_BITS)), entry
+        entry, found, most = np.full(max(len(places) - 1, 0), -1, np.int32), [], 0
+        frequent = np.flatnonzero(total >= LEAST_CONTEXT)
+        # Pairs are counted in a table of so many contexts at a time that it is about as large as the places are.
+        for own in np.array_split(frequent, -(-len(frequent) * n // max(4 * len(places), n, 1))) if len(frequent) else []:
+            rank = np.full(n, -1, np.int64)
+            rank[own] = np.arange(len(own)) * n
+            at = rank.take(places[:-1])
+            here = slice(None) if (at >= 0).all() else np.flatnonzero(at >= 0)
+            pair = at[here] + places[1:][here]
+            count = np.bincount(pair, minlength=len(own) * n)
+            kept = np.flatnonzero((count >= LEAST_PAIR) & (count << ORDER1_BITS >= np.repeat(total[own], n)))
+            number = np.full(len(count), -1, np.int32)
+            number[kept] = most + np.arange(len(kept))
+            entry[here], most = number.take(pair), most + len(kept)
+            found.append((own[kept // n], kept % n, count[kept]))
+        context, after, count = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in range(3))
+        contexts, group, sizes = np.unique(context, return_inverse=True, return_counts=True)
+        return cls(symbols, freq, contexts, sizes, after, shares(count, group, len(contexts), ORDER1_BITS)), entry
 
     def pack(self) -> dict:
         z = lambda *xs: zlib.compress(b"".join(np.asarray(x, t).tobytes() for x, t in xs), 6)
@@ -114,18 +130,19 @@ class _Mix:
     """Order 2 and the weights of all blocks, each from the same start."""
 
     def __init__(self, lanes: int) -> None:
-        self.table = np.zeros(lanes << TABLE_BITS, np.int32)  # (id + 1) << 2 | confidence
+        self.table = np.zeros(lanes << TABLE_BITS, np.int32)  # (id + 1) << 4 | confidence
         self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
         self.row = np.arange(lanes, dtype=np.int64) << 4
-        start = np.array([[60, 3200], [600, 3400], [1400, 3600], [2600, 3800]])  # by confidence
+        start = np.array([[960, 51200], [9600, 54400], [22400, 57600], [41600, 60800]], np.uint64)  # by confidence
         own = np.repeat(start, 4, 0)
-        own[::4, 1] = own[::4, 0] + 48  # without successors
-        self.first, self.second = (np.tile(own[:, k], lanes).astype(np.int64) for k in (0, 1))
+        own[::4, 1] = own[::4, 0] + np.uint64(768)  # without successors
+        self.weights = np.tile(own[:, 0] | own[:, 1] << HALF, lanes)
 
-    def learn(self, i: np.ndarray, g: np.ndarray, sure: np.ndarray, hit: np.ndarray, s1: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> None:
-        self.table[i] = np.where(hit, g + (sure < 3), np.where(sure >= 2, g - sure + (sure >> 1), s1 << 2))
-        self.first[row] = a + ((TO_FIRST[kind] - a) >> RATE)
-        self.second[row] = b + ((TO_SECOND[kind] - b) >> RATE)
+    def learn(self, i: np.ndarray, held: np.ndarray, sure: np.ndarray, hit: np.ndarray, s1: np.ndarray, row: np.ndarray, w: np.ndarray, kind: np.ndarray) -> None:
+        """held: the entries without their confidence; s1: (id + 1) << 4; w: the weights in use."""
+        surer = np.minimum(sure + LEAST_SURE, SURE)
+        self.table[i] = np.where(hit, held + surer, np.where(sure > LEAST_SURE, held + LEAST_SURE, s1))
+        self.weights[row] = w - (w >> np.uint64(RATE) & MOVED) + TO.take(kind)
 
 
 def _hash(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
@@ -149,35 +166,37 @@ def encode_blocks(places: np.ndarray, entry: np.ndarray, sizes: np.ndarray, mode
     p2 = np.concatenate([[n_ids], p1[:-1]])
     p1[begins] = p2[begins] = n_ids
     p2[(begins + 1)[sizes > 1]] = n_ids
-    g_hash, g_class = grid(_hash(p2, p1).astype(np.int16)), grid(model.classes().astype(np.uint8)[p1])
+    m = _Mix(lanes)
+    g_hash, g_class = grid(_hash(p2, p1).astype(np.int32)) + m.base.astype(np.int32), grid(model.classes().astype(np.int32)[p1]) + m.row.astype(np.int32)
     del p1, p2
     own = np.concatenate([[-1], entry])
     own[begins] = -1
     plain = own < 0
     _, start, freq = model.entries()
     own = np.where(plain, len(model.successors) + places, own)
-    g_s1, g_kind, g_start, g_freq = grid((places + 1).astype(np.int32)), grid(plain.astype(np.int8) + np.int8(1)), grid(start.astype(np.uint32)[own]), grid(freq.astype(np.uint32)[own], 1)
+    g_s1, g_kind, g_start, g_freq = grid((places + 1 << 4).astype(np.int32)), grid(plain.astype(np.int8) + np.int8(1)), grid(start.astype(np.uint32).take(own)), grid(freq.astype(np.uint32).take(own), 1)
     del own, plain, inside
-    shift = np.array([0, ORDER1_BITS, ORDER0_BITS], np.uint64)
+    bits1, bits0 = np.uint64(ORDER1_BITS), np.uint64(ORDER0_BITS)
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    m, out, filled = _Mix(lanes), np.zeros((lanes, longest + 4), np.uint32), np.ones(lanes, np.int64)
+    out, filled = np.zeros((lanes, longest + 4), np.uint32), np.ones(lanes, np.int64)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    top, mix, none = np.int64(1 << MIX_BITS), np.uint64(MIX_BITS), np.uint64(0)
+    top, mix, none = np.uint64(1 << MIX_BITS), np.uint64(MIX_BITS), np.uint64(0)
     with np.errstate(over="ignore"):
         for t in range(longest):
             n = int(active[t])
-            i, s1, kind = m.base[:n] + g_hash[t, :n], g_s1[t, :n], g_kind[t, :n]
-            g = m.table[i]
-            sure = g & 3
-            hit = g >> 2 == s1
-            row = m.row[:n] + ((sure << 2) + g_class[t, :n])
-            a, b = m.first[row], m.second[row]
-            kind = np.where(hit, 0, kind)
-            from_ = np.where(hit, 0, np.where(kind == 1, a, b))
-            to = np.where(hit, a, np.where(kind == 1, b, top))
+            i, s1, kind = g_hash[t, :n], g_s1[t, :n], g_kind[t, :n]
+            g = m.table.take(i)
+            sure = g & SURE
+            held = g - sure
+            hit = held == s1
+            row = g_class[t, :n] + sure
+            w = m.weights.take(row)
+            a, b, plain = w & LOW, w >> HALF, kind == 2
+            from_ = np.where(hit, none, np.where(plain, b, a))
+            to = np.where(hit, a, np.where(plain, top, b))
             unit = width[:n] >> mix
-            add, r = unit * from_.view(np.uint64), unit * (to - from_).view(np.uint64)
-            unit = r >> shift[g_kind[t, :n]]
+            add, r = unit * from_, unit * (to - from_)
+            unit = r >> np.where(plain, bits0, bits1)
             add += np.where(hit, none, unit * g_start[t, :n])
             width[:n] = r = np.where(hit, r, unit * g_freq[t, :n])
             low[:n] += add
@@ -193,7 +212,7 @@ def encode_blocks(places: np.ndarray, entry: np.ndarray, sizes: np.ndarray, mode
                 out[at, filled[at]] = x >> np.uint64(32)
                 filled[at] += 1
                 low[at], width[at] = x << np.uint64(32), r[at] << np.uint64(32)
-            m.learn(i, g, sure, hit, s1, row, a, b, kind)
+            m.learn(i, held, sure, hit, s1, row, w, np.where(hit, 0, kind))
     every = np.arange(lanes)
     for k in (0, 1):
         out[every, filled + k] = (low >> np.uint64(32 * (1 - k))).astype(np.uint32)
@@ -227,28 +246,29 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray, model: Predictions) ->
             n = int(active[t])
             q1 = p1[:n]
             i = m.base[:n] + _hash(p2[:n], q1)
-            g = m.table[i]
-            sure = g & 3
-            row = m.row[:n] + ((sure << 2) + classes[q1])
-            a, b = m.first[row], m.second[row]
+            g = m.table.take(i)
+            sure = g & SURE
+            held = g - sure
+            row = m.row[:n] + sure + classes.take(q1)
+            w = m.weights.take(row)
             x, unit = v[:n], width[:n] >> mix
-            t0, t1 = unit * a.view(np.uint64), unit * b.view(np.uint64)
+            t0, t1 = unit * (w & LOW), unit * (w >> HALF)
             hit, plain = x < t0, x >= t1
             x = x - np.where(hit, np.uint64(0), np.where(plain, t1, t0))
             r = np.where(hit, t0, np.where(plain, (unit << mix) - t1, t1 - t0))
             unit = r >> np.where(plain, bits0, bits1)
             place = np.minimum((x // np.maximum(unit, np.uint64(1))).view(np.int64), np.where(plain, most0, most1))
-            entry = entry_at[np.where(plain, order0_at, context_at[q1]) + place]
-            s = np.where(hit, (g >> 2) - 1, symbol[entry])
-            x = np.where(hit, x, x - unit * start[entry])
-            r = np.where(hit, r, unit * freq[entry])
+            entry = entry_at.take(np.where(plain, order0_at, context_at.take(q1)) + place)
+            s = np.where(hit, (held >> 4) - 1, symbol.take(entry))
+            x = np.where(hit, x, x - unit * start.take(entry))
+            r = np.where(hit, r, unit * freq.take(entry))
             if len(at := np.flatnonzero(r < FULL)):
                 r[at] <<= np.uint64(32)
                 x[at] = (x[at] << np.uint64(32)) | words[at, np.minimum(read[at], words.shape[1] - 1)]
                 read[at] += 1
             v[:n], width[:n] = x, r
             grid[t, :n] = s
-            m.learn(i, g, sure, hit, s + 1, row, a, b, np.where(hit, 0, plain + 1))
+            m.learn(i, held, sure, hit, s + 1 << 4, row, w, np.where(hit, 0, plain + 1))
             p2[:n] = q1
             p1[:n] = s
     grid = grid.T

@@ -15,12 +15,14 @@ import pyarrow.compute as pc
 
 from curata.llm import common as C
 
-#: Lower-case letters that no normalizer changes, and perhaps the full stop or comma that ends a word.
-PLAIN = "^[a-zß-öø-ÿ]+[.,]?$"
+#: Capitals beyond ASCII that are lowered here, and words of them and of lower-case letters that no normalizer changes,
+#: perhaps with the full stop or comma that ends a word.
+CAPITALS = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+PLAIN = f"^[a-zß-öø-ÿ{CAPITALS}]+[.,]?$"
 #: Plain words that the library gets as one text, and texts a call.
 JOINED, CALL = 200, 200
 #: Words kept by one Python worker between batches, without a stop at their end.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 250_000
 
 
 class WordEncoder:
@@ -40,7 +42,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        if ids("Ab.\n CD,e") != ids("ab") + ids(".") + ids("cd") + ids(",") + ids("e"):
+        if ids("Ab.\n CD,e") != ids("ab") + ids(".") + ids("cd") + ids(",") + ids("e") or ids(CAPITALS) != ids(CAPITALS.lower()):
             raise ValueError(f"{path} doesn't encode word by word")
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab()
@@ -88,7 +90,7 @@ class WordEncoder:
         """Sizes and ids of distinct words, one after another."""
         plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
         at, others = np.flatnonzero(plain), np.flatnonzero(~plain)
-        some = words.take(pa.array(at))
+        some = pc.utf8_lower(words.take(pa.array(at)))
         stop = [pc.ends_with(some, c).to_numpy(zero_copy_only=False) for c in ".,"]
         stems = pc.utf8_rtrim(some, ".,").dictionary_encode()
         n_stems, memo = len(stems.dictionary), self.memo

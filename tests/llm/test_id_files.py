@@ -78,3 +78,28 @@ def test_many_shapes_round_trip():
         ids = np.minimum(rng.zipf(1.3, n), top).astype(np.uint32) if k % 2 else np.repeat(rng.integers(0, top, n // 5 + 1), 5).astype(np.uint32)
         chunk = I.encode_chunk(ids) | {"chunk": 0}
         assert (I.decode_chunk(chunk) == ids).all()
+
+
+def test_memo_keeps_what_is_asked_for_again():
+    import pyarrow as pa
+
+    from curata.llm.common import SpanMemo
+
+    learnt = []
+
+    def learn(place, strings):
+        learnt.extend(strings)
+        return np.array([len(x) for x in strings], np.int64), np.array([ord("a") + c for x in strings for c in x], np.uint32)
+
+    memo = SpanMemo(10)
+    for k in range(40):
+        keys = pa.array(["hot", "warm", f"rare{k}", f"odd{k}"])
+        at = memo.places(keys, learn)
+        for i, key in zip(at, keys.to_pylist(), strict=True):
+            got = memo.ids[memo.starts[i] : memo.starts[i] + memo.sizes[i]]
+            assert [int(x) - ord("a") for x in got] == list(key.encode())
+        assert len(memo.known) <= 10
+    assert learnt.count(b"hot") == 1 and learnt.count(b"warm") == 1
+    wide = SpanMemo(3)
+    for _ in range(2):
+        assert len(set(wide.places(pa.array(list("abcdefgh")), learn))) == 8
