@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """A number that ascends in file order: file, block and place. Numbers aren't gapless, so no row passes through one task."""
+def with_row_index(df: DataFrame, name: str = "row_idx", first: int = 0, per_file: bool = False) -> DataFrame:
+    """A gapless number in file order for the rows of a file scan, from `first`; per_file starts anew in each file.
+
+    Rows of a block of a file stand together in a task, so a row's number is its place in the block and the number of rows
+    in the blocks before it. Only a row a block is shuffled and ordered; the scan is read twice.
+    """
     m = F.col("_metadata")
-    return df.select("*", F.struct(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place")).alias(name))
+    placed = df.select("*", m["file_path"].alias("__file"), m["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__place"))
+    blocks = placed.groupBy("__file", "__block").agg(F.min("__place").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    order = (Window.partitionBy("__file").orderBy("__block") if per_file else Window.orderBy("__file", "__block")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("__file", "__block", (F.coalesce(F.sum("__n").over(order), F.lit(0)) - F.col("__least") + first).alias("__start"))
+    return placed.join(starts, ["__file", "__block"]).withColumn(name, F.col("__place") + F.col("__start")).drop("__file", "__block", "__place", "__start")
 
 
 def last_by_key(df: DataFrame, key: str, order: str, value: Column) -> DataFrame:
