@@ -59,3 +59,9 @@ def first_reason(reasons: list[tuple[str, Column]], otherwise: str) -> Column:
 def codes(pairs: list[tuple[str | Column, Column]]) -> Column:
     """The codes whose conditions hold, in order."""
     return F.filter(F.array(*(F.when(cond, F.lit(code) if isinstance(code, str) else code) for code, cond in pairs)), lambda x: x.isNotNull())
+
+
+def first_keyed(df: DataFrame, key: str, order: str, value: Column, n: int) -> DataFrame:
+    """Of the n keys that come first by the order of their first rows: key, first_idx and the value of the key's last row."""
+    per = df.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.min(order).alias("first_idx"), F.max_by(value, F.col(order)).alias("value"))
+    return per.orderBy("first_idx").limit(n)

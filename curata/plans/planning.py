@@ -11,7 +11,8 @@ from curata.functions import text as T
 from curata.operators import facts as X
 from curata.operators import generation as G
 from curata.operators import guards, recovery, targets
-from curata.plans.catalog import DOC_TEXT, TITLES, documents, query, strings, table, titles
+from curata.operators import relational as R
+from curata.plans.catalog import DOC_TEXT, FACTS, TITLES, documents, facts, query, strings, table, titles
 
 NEGATIVE = targets.DEFAULT_NEGATIVE
 PLAN = "struct<image_role:string,required_visual_cues:array<string>,optional_visual_cues:array<string>,forbidden_or_misleading_cues:array<string>,visual_strategy:string,framing:string,abstractness:string>"
@@ -203,3 +204,21 @@ def json_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, "lang").select("doc_id", made.alias("raw"))
     got = rows.select("doc_id", J.parse_with_notes(F.col("raw")).alias("p"), J.any_json(F.col("raw")).alias("j"))
     return got.select("doc_id", F.try_element_at("p.object", F.lit("id")).alias("id"), "p.notes", F.col("j.parsed_ok").alias("any_json"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_idx FROM documents")
+def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file's rows stand by ascending doc_id."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "_metadata")
+    return R.with_row_index(rows, first=1).select("doc_id", "row_idx")
+
+
+@query(f"SELECT image_id, min(doc_id) AS first_idx, arg_max(source || ' ' || lang, doc_id) AS facts FROM {FACTS} GROUP BY image_id ORDER BY first_idx LIMIT 20")
+def inspect_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.first_keyed(facts(spark, sf_dir), "image_id", "doc_id", F.concat_ws(" ", "source", "lang"), 20)
+    return found.select("image_id", "first_idx", F.col("value").alias("facts"))
+
+
+@query(f"SELECT article_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda x: list_position(w, x[1]) = x[2] + 1), lambda x: x[1]) AS words FROM (SELECT article_id, string_split(article_title, ' ') AS w FROM {TITLES})")
+def distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles(spark, sf_dir).select("article_id", F.array_distinct(F.split("article_title", " ")).alias("words"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from curata.plans import catalog
+from curata.plans import catalog, planning  # noqa: F401 - planning adds its queries
 
 SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
