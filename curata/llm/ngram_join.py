@@ -11,7 +11,9 @@ class bound is the least document frequency at which pairs add no more keys than
 
 Links are then found in two steps. Stars: every node is checked against a few pivots of each of its keys, which joins
 large groups of near copies in linear work. Completion: where a key's nodes still lie in several components, nodes of like
-size meet across them. So each link is checked or lies inside a component already found.
+size meet across them. So each link is checked or lies inside a component already found. Nodes that share many keys would
+meet at each of them, so a node carries the least key of each of a few classes, and two nodes that have one of these in
+common are paired at the first such key alone.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SPLIT = 2000
 PIVOTS = 3
 #: 64-bit words of a set's parities: 512 classes of elements.
 PARITIES = 8
+#: Classes of a node's open keys, of each of which it keeps the least.
+LEASTS = 8
 
 
 def shingle_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,15 +172,18 @@ def keys(nodes: DataFrame, bound: int) -> DataFrame:
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one key in different components that may link: those outside the key's largest component meet
-    those of the key in bands of like size. A key of many nodes is split over several tasks."""
+    those of the key in bands of like size. A key of many nodes is split over several tasks. Nodes with a least key in
+    common are a pair at the first of these only: both have it, so they meet there."""
     per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     top = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("n")).where("n_comps > 1")
     band = F.floor(F.log("size") / F.log(F.lit(100 / percent))).cast("int")  # linked sizes lie in one band or in two adjoining ones
     rows = rows.join(top.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "key").withColumn("band", band)
-    own = ["node", "size", "comp", "shared", "parities"]
+    own = ["node", "size", "comp", "shared", "parities", "leasts"]
     few = rows.where("comp <> top").select("key", *own, F.pmod(F.xxhash64("node"), "parts").alias("part"), F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
     many = rows.select("key", "band", *(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in own), "top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-    cond = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("top")) | (F.col("node") < F.col("other"))) & _close(percent) & _may_link(percent)
+    least = lambda k: F.get("leasts", F.lit(k))
+    place = F.coalesce(*(F.when(least(k) == F.get("other_leasts", F.lit(k)), least(k)) for k in range(LEASTS)), "key")
+    cond = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("top")) | (F.col("node") < F.col("other"))) & _close(percent) & _may_link(percent) & (place == F.col("key"))
     return few.join(many, ["key", "band", "part"]).where(cond).select("node", "other")
 
 
@@ -237,9 +244,10 @@ def _components(docs: DataFrame, n: int, percent: int, chunk_chars: int, scratch
     rows = _labelled(index.select("node", "key"), roots)
     spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     # Back to a row a node with those of its keys that lie in several components.
-    mine = rows.join(spread, "key").groupBy("node", "comp").agg(F.collect_list("key").alias("keys"))
+    leasts = F.array(*(F.min(F.when(F.pmod("key", F.lit(LEASTS)) == k, F.col("key"))) for k in range(LEASTS)))
+    mine = rows.join(spread, "key").groupBy("node", "comp").agg(F.collect_list("key").alias("keys"), leasts.alias("leasts"))
     open_ = scratch.store(mine.join(nodes.select("node", "size", "shared", "parities"), "node"))
-    pairs = _across(open_.select("node", "comp", "size", "shared", "parities", F.explode("keys").alias("key")), percent)
+    pairs = _across(open_.select("node", "comp", "size", "shared", "parities", "leasts", F.explode("keys").alias("key")), percent)
     more = scratch.store(_verified(pairs, nodes, percent))
     if more.limit(1).count():
         roots = components(edges.unionAll(more), scratch)

@@ -93,6 +93,32 @@ def test_links_come_from_both_classes(spark, monkeypatch):
     assert seen[True] > 0 and seen[False] > 0 and seen["bound"] in ngram_join.CLASSES
 
 
+def test_nodes_that_share_many_keys_are_paired_once(spark, monkeypatch):
+    from curata.llm import ngram_join
+
+    made, real = [], ngram_join._across
+
+    def spy(rows, percent):
+        pairs = real(rows, percent)
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_across", spy)
+    monkeypatch.setattr(ngram_join, "class_bound", lambda nodes: 3)
+    rng = random.Random(6)
+    base, rows = [f"w{k}" for k in range(215)], []
+    for i in range(60):  # two with two edits each link, one with two and one with three only nearly
+        w = list(base)
+        for k in rng.sample(range(4, 210, 5), rng.choice((2, 3))):
+            w[k] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicate_components(df, "doc_id", "text", 5, 80).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5, 80)
+    ((pairs, distinct),) = made
+    assert distinct > 20 and pairs <= 2 * distinct
+
+
 def test_null_ids_string_ids_and_long_texts(spark):
     words = [f"w{k * k % 7919}" for k in range(60_000)]
     texts = [" ".join(words), " ".join(["other", *words[1:]]), None, "a b c d e f", "a b c d e f", "x" * 300_000]
