@@ -27,16 +27,26 @@ from curata.llm import common as C
 from curata.llm.word_ids import WordEncoder
 
 BLOCK = 2048
+#: Bytes of text whose words are looked up at a time, about a chunk's: each look-up goes over the whole memo.
+WORD_BYTES = 7_000_000
 TABLE_BITS, MIX_BITS, ORDER1_BITS, ORDER0_BITS = 11, 16, 12, 18
 #: Occurrences of an id from which on it has a distribution of its own over what follows it, and of a pair in it.
 LEAST_CONTEXT, LEAST_PAIR = 512, 3
-#: Where a block's weights move to, by the prediction that held the id: order 2, order 1, order 0. Sums from below, the
-#: first in the low half of a number and the second in the high half, so that both move by one operation.
+#: Where a block's weights move to, by the prediction that held the id: order 2, order 1, order 0. Sums from below in one
+#: number's fields of 16 bits: none, the first, the second and, as its low 16 bits, the whole. So both weights move by one
+#: operation, and a shift by 16 bits for each prediction before it brings a prediction's own to the low two fields.
 RATE = 5
-TO = np.array([first | second << 32 for first, second in ((64000, 64768), (768, 64768), (768, 1536))], np.uint64) >> np.uint64(RATE)
-LOW, HALF, MOVED = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(0x7FF000007FF)
+TO = np.array([first << 16 | second << 32 for first, second in ((64000, 64768), (768, 64768), (768, 1536))], np.uint64) >> np.uint64(RATE)
+FIELD, LOW, HALF, MOVED = np.uint64(16), np.uint64(0xFFFF), np.uint64(32), np.uint64(0x7FF07FF0000)
+#: An id's interval in one number: start, size from bit SIZE_AT on, for the encoder the bits of its distribution and the
+#: prediction that holds it, for the decoder its place.
+SIZE_AT, BITS_AT, KIND_AT, PLACE_AT = (np.uint64(x) for x in (20, 40, 48, 40))
+PART, BYTE = np.uint64((1 << 20) - 1), np.uint64(0xFF)
+WHOLE = np.uint64(1 << 20)  # all of an interval, as order 2 takes it
 #: Confidences of order 2, in an entry's bits below the id.
 LEAST_SURE, SURE = 4, 12
+#: The next confidence, by the one so far and, added to it, whether it was right.
+NEXT_SURE = np.array([min(s + LEAST_SURE, SURE) if hit else LEAST_SURE * (s > LEAST_SURE) for s in range(0, SURE + 1, LEAST_SURE) for hit in (0, 1, 1, 1)], np.uint16)
 FULL = np.uint64(1 << 32)
 FILE_SCHEMA = "chunk long, n_ids long, doc_ids array<{id}>, doc_sizes array<int>, symbols binary, frequencies binary, successors binary, block_sizes array<int>, block_crc32 array<long>, blocks array<binary>"
 
@@ -129,19 +139,19 @@ class Predictions:
 class _Mix:
     """Order 2 and the weights of all blocks, each from the same start."""
 
-    def __init__(self, lanes: int) -> None:
-        self.table = np.zeros(lanes << TABLE_BITS, np.int32)  # (id + 1) << 4 | confidence
+    def __init__(self, lanes: int, n_ids: int) -> None:
+        # (id + 1) << 4 | confidence; narrow where ids allow it, for its places are far apart in memory
+        self.table = np.zeros(lanes << TABLE_BITS, np.uint16 if n_ids < 4095 else np.int32)
         self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
         self.row = np.arange(lanes, dtype=np.int64) << 4
         start = np.array([[960, 51200], [9600, 54400], [22400, 57600], [41600, 60800]], np.uint64)  # by confidence
         own = np.repeat(start, 4, 0)
         own[::4, 1] = own[::4, 0] + np.uint64(768)  # without successors
-        self.weights = np.tile(own[:, 0] | own[:, 1] << HALF, lanes)
+        self.weights = np.tile(own[:, 0] << FIELD | own[:, 1] << HALF, lanes)
 
     def learn(self, i: np.ndarray, held: np.ndarray, sure: np.ndarray, hit: np.ndarray, s1: np.ndarray, row: np.ndarray, w: np.ndarray, kind: np.ndarray) -> None:
-        """held: the entries without their confidence; s1: (id + 1) << 4; w: the weights in use."""
-        surer = np.minimum(sure + LEAST_SURE, SURE)
-        self.table[i] = np.where(hit, held + surer, np.where(sure > LEAST_SURE, held + LEAST_SURE, s1))
+        """held: the entries without their confidence; s1: (id + 1) << 4, of the table's type, equal to held at a hit; w: the weights in use."""
+        self.table[i] = np.where(sure > LEAST_SURE, held, s1) | NEXT_SURE.take(sure + hit)
         self.weights[row] = w - (w >> np.uint64(RATE) & MOVED) + TO.take(kind)
 
 
@@ -154,51 +164,46 @@ def encode_blocks(places: np.ndarray, entry: np.ndarray, sizes: np.ndarray, mode
     lanes, longest = len(sizes), int(sizes.max(initial=0))
     if not lanes:
         return []
-    n_ids, inside = len(model.symbols), np.arange(longest)[None, :] < sizes[:, None]
-
-    def grid(x: np.ndarray, fill: int = 0) -> np.ndarray:
-        out = np.full((lanes, longest), fill, x.dtype)
-        out[inside] = x
-        return np.ascontiguousarray(out.T)
-
-    begins = np.cumsum(sizes) - sizes
-    p1 = np.concatenate([[n_ids], places[:-1]]).astype(np.int64)
-    p2 = np.concatenate([[n_ids], p1[:-1]])
-    p1[begins] = p2[begins] = n_ids
-    p2[(begins + 1)[sizes > 1]] = n_ids
-    m = _Mix(lanes)
-    g_hash, g_class = grid(_hash(p2, p1).astype(np.int32)) + m.base.astype(np.int32), grid(model.classes().astype(np.int32)[p1]) + m.row.astype(np.int32)
-    del p1, p2
+    n_ids, order0 = len(model.symbols), len(model.successors)
+
+    def grid(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(lanes * longest, np.int32)
+        out[: len(x)] = x
+        return np.ascontiguousarray(out.reshape(lanes, longest).T)
+
     own = np.concatenate([[-1], entry])
-    own[begins] = -1
-    plain = own < 0
+    own[np.cumsum(sizes) - sizes] = -1
+    g_place, g_own = grid(places), grid(np.where(own < 0, order0 + places, own))
+    del own
     _, start, freq = model.entries()
-    own = np.where(plain, len(model.successors) + places, own)
-    g_s1, g_kind, g_start, g_freq = grid((places + 1 << 4).astype(np.int32)), grid(plain.astype(np.int8) + np.int8(1)), grid(start.astype(np.uint32).take(own)), grid(freq.astype(np.uint32).take(own), 1)
-    del own, plain, inside
-    bits1, bits0 = np.uint64(ORDER1_BITS), np.uint64(ORDER0_BITS)
+    intervals = start | freq << SIZE_AT
+    intervals[:order0] |= np.uint64(ORDER1_BITS) << BITS_AT | np.uint64(16) << KIND_AT
+    intervals[order0:] |= np.uint64(ORDER0_BITS) << BITS_AT | np.uint64(32) << KIND_AT
+    m, classes = _Mix(lanes, n_ids), model.classes()
+    p1, p2 = np.full(lanes, n_ids, np.int64), np.full(lanes, n_ids, np.int64)
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")
     out, filled = np.zeros((lanes, longest + 4), np.uint32), np.ones(lanes, np.int64)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    top, mix, none = np.uint64(1 << MIX_BITS), np.uint64(MIX_BITS), np.uint64(0)
+    mix, four = np.uint64(MIX_BITS), np.uint64(4)
     with np.errstate(over="ignore"):
         for t in range(longest):
             n = int(active[t])
-            i, s1, kind = g_hash[t, :n], g_s1[t, :n], g_kind[t, :n]
+            p2, p1, place = p2[:n], p1[:n], g_place[t, :n]
+            i, s1 = m.base[:n] + _hash(p2, p1), (place + 1 << 4).astype(m.table.dtype)
             g = m.table.take(i)
             sure = g & SURE
             held = g - sure
             hit = held == s1
-            row = g_class[t, :n] + sure
+            row = m.row[:n] + classes.take(p1) + sure
             w = m.weights.take(row)
-            a, b, plain = w & LOW, w >> HALF, kind == 2
-            from_ = np.where(hit, none, np.where(plain, b, a))
-            to = np.where(hit, a, np.where(plain, top, b))
+            interval = np.where(hit, WHOLE, intervals.take(g_own[t, :n]))
+            kind = interval >> KIND_AT
+            own = w >> kind
             unit = width[:n] >> mix
-            add, r = unit * from_, unit * (to - from_)
-            unit = r >> np.where(plain, bits0, bits1)
-            add += np.where(hit, none, unit * g_start[t, :n])
-            width[:n] = r = np.where(hit, r, unit * g_freq[t, :n])
+            add, r = unit * (own & LOW), unit * ((own >> FIELD) - own & LOW)
+            unit = r >> (interval >> BITS_AT & BYTE)
+            add += unit * (interval & PART)
+            width[:n] = r = unit * (interval >> SIZE_AT & PART)
             low[:n] += add
             if (over := low[:n] < add).any():
                 for lane in np.flatnonzero(over).tolist():  # a carry into what has been moved out
@@ -212,7 +217,8 @@ def encode_blocks(places: np.ndarray, entry: np.ndarray, sizes: np.ndarray, mode
                 out[at, filled[at]] = x >> np.uint64(32)
                 filled[at] += 1
                 low[at], width[at] = x << np.uint64(32), r[at] << np.uint64(32)
-            m.learn(i, held, sure, hit, s1, row, w, np.where(hit, 0, kind))
+            m.learn(i, held, sure, hit, s1, row, w, (kind >> four).view(np.int64))
+            p2, p1 = p1, place.astype(np.int64)
     every = np.arange(lanes)
     for k in (0, 1):
         out[every, filled + k] = (low >> np.uint64(32 * (1 - k))).astype(np.uint32)
@@ -228,49 +234,51 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray, model: Predictions) ->
     for i, x in enumerate(blocks):
         words[i, : len(x) // 4] = np.frombuffer(x, "<u4")
     symbol, start, freq = model.entries()
-    symbol = symbol.astype(np.int32)
-    n_ids, n_successors = len(model.symbols), len(model.successors)
-    # For each place in a distribution the entry there: all contexts, then order 0.
-    entry_at = np.concatenate([np.repeat(np.arange(n_successors, dtype=np.int32), model.succ_freq), np.repeat(np.arange(n_successors, n_successors + n_ids, dtype=np.int32), model.freq)])
+    interval = start | freq << SIZE_AT | symbol.astype(np.uint64) << PLACE_AT
+    n_ids = len(model.symbols)
+    # For each place in a distribution the interval there: all contexts, then order 0.
+    interval_at = np.repeat(interval, np.concatenate([model.succ_freq, model.freq]))
     order0_at, classes = len(model.contexts) << ORDER1_BITS, model.classes()
     context_at = np.zeros(n_ids + 1, np.int64)
     context_at[model.contexts] = np.arange(len(model.contexts)) << ORDER1_BITS
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    m, grid, read = _Mix(lanes), np.zeros((longest, lanes), np.int32), np.full(lanes, 2, np.int64)
+    m, grid, read = _Mix(lanes, n_ids), np.zeros((longest, lanes), np.int32), np.full(lanes, 2, np.int64)
     v, width = (words[:, 0] << np.uint64(32)) | words[:, 1], np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     p1, p2 = np.full(lanes, n_ids, np.int64), np.full(lanes, n_ids, np.int64)
-    mix, bits1, bits0 = np.uint64(MIX_BITS), np.uint64(ORDER1_BITS), np.uint64(ORDER0_BITS)
-    most1, most0 = np.int64((1 << ORDER1_BITS) - 1), np.int64((1 << ORDER0_BITS) - 1)
+    # By the prediction that held the id, of which order 2 has no distribution.
+    fields, bits = np.array([0, 16, 32], np.uint64), np.array([ORDER1_BITS, ORDER1_BITS, ORDER0_BITS], np.uint64)
+    mix, most = np.uint64(MIX_BITS), (np.int64(1) << bits.view(np.int64)) - 1
     with np.errstate(over="ignore"):
         for t in range(longest):
             n = int(active[t])
-            q1 = p1[:n]
-            i = m.base[:n] + _hash(p2[:n], q1)
+            p2, p1, v, width = p2[:n], p1[:n], v[:n], width[:n]
+            i = m.base[:n] + _hash(p2, p1)
             g = m.table.take(i)
             sure = g & SURE
             held = g - sure
-            row = m.row[:n] + sure + classes.take(q1)
+            row = m.row[:n] + classes.take(p1) + sure
             w = m.weights.take(row)
-            x, unit = v[:n], width[:n] >> mix
-            t0, t1 = unit * (w & LOW), unit * (w >> HALF)
+            x, unit = v, width >> mix
+            t0, t1 = unit * (w >> FIELD & LOW), unit * (w >> HALF)
             hit, plain = x < t0, x >= t1
-            x = x - np.where(hit, np.uint64(0), np.where(plain, t1, t0))
-            r = np.where(hit, t0, np.where(plain, (unit << mix) - t1, t1 - t0))
-            unit = r >> np.where(plain, bits0, bits1)
-            place = np.minimum((x // np.maximum(unit, np.uint64(1))).view(np.int64), np.where(plain, most0, most1))
-            entry = entry_at.take(np.where(plain, order0_at, context_at.take(q1)) + place)
-            s = np.where(hit, (held >> 4) - 1, symbol.take(entry))
-            x = np.where(hit, x, x - unit * start.take(entry))
-            r = np.where(hit, r, unit * freq.take(entry))
+            kind = (x >= t0).view(np.int8) + plain.view(np.int8)
+            own = w >> fields.take(kind)
+            x = x - unit * (own & LOW)
+            r = unit * ((own >> FIELD) - own & LOW)
+            unit = r >> bits.take(kind)
+            place = np.minimum((x // unit).view(np.int64), most.take(kind))  # weights keep unit over 0
+            own = interval_at.take(np.where(plain, order0_at, context_at.take(p1)) + place)
+            s = np.where(hit, (held >> 4).astype(np.int64) - 1, (own >> PLACE_AT).view(np.int64))
+            x = np.where(hit, x, x - unit * (own & PART))
+            r = np.where(hit, r, unit * (own >> SIZE_AT & PART))
             if len(at := np.flatnonzero(r < FULL)):
                 r[at] <<= np.uint64(32)
                 x[at] = (x[at] << np.uint64(32)) | words[at, np.minimum(read[at], words.shape[1] - 1)]
                 read[at] += 1
-            v[:n], width[:n] = x, r
+            v, width = x, r
             grid[t, :n] = s
-            m.learn(i, held, sure, hit, s + 1 << 4, row, w, np.where(hit, 0, plain + 1))
-            p2[:n] = q1
-            p1[:n] = s
+            m.learn(i, held, sure, hit, (s + 1 << 4).astype(m.table.dtype), row, w, kind)
+            p2, p1 = p1, s
     grid = grid.T
     return np.ascontiguousarray(grid)[np.arange(longest)[None, :] < sizes[:, None]].astype(np.int64)
 
@@ -321,7 +329,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, tokenizer: str,
         id_type = table["id"].type
         table = table.sort_by([("id", "ascending")]) if table["id"].null_count == 0 else table.take(pa.compute.sort_indices(table, [("id", "ascending")], null_placement="at_start"))
         parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for batch in C.small_batches(iter(table.combine_chunks().to_batches()), "text"):
+        for batch in C.small_batches(iter(table.combine_chunks().to_batches()), "text", WORD_BYTES):
             offsets, ids = WordEncoder.of(tokenizer).encode(batch["text"])
             parts.append(np.insert(ids, offsets[1:], np.uint32(end_id)))
             sizes.append(np.diff(offsets) + 1)

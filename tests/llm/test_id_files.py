@@ -28,6 +28,21 @@ def test_repeats_shrink_and_blocks_stand_alone():
     assert (I.decode_chunk(one) == ids[2 * I.BLOCK : 3 * I.BLOCK]).all()
 
 
+@pytest.mark.parametrize("n_ids", [4093, 4094, 4095, 4096])
+def test_tables_of_either_width(n_ids):
+    ids = np.concatenate([np.arange(n_ids), np.tile(np.arange(n_ids - 40, n_ids), 200)]).astype(np.uint32)
+    chunk = I.encode_chunk(ids) | {"chunk": 0}
+    assert (I.decode_chunk(chunk) == ids).all()
+    assert I._Mix(1, n_ids).table.itemsize == (2 if n_ids < 4095 else 4)
+
+
+def test_coded_bytes_stay():
+    rng = np.random.default_rng(8)
+    ids = np.concatenate([np.repeat(rng.zipf(1.3, 9000) % 700, 2), np.tile(rng.integers(0, 3000, 90), 80), rng.integers(0, 60_000, 9000)])
+    blocks = I.encode_chunk(ids.astype(np.uint32))["blocks"]
+    assert (len(b"".join(blocks)), zlib.crc32(b"".join(blocks))) == (32228, 363598810)
+
+
 def test_damage_is_found():
     ids = np.random.default_rng(1).integers(0, 3000, 5000).astype(np.uint32)
     chunk = I.encode_chunk(ids) | {"chunk": 7}

@@ -59,6 +59,17 @@ def test_word_ids():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
+def test_words_with_signs_at_their_end_are_encoded_as_stems(monkeypatch):
+    words = ["Para.###", "abc***", "é!?", "don'", "x<|", "abc", "a\\", "b^_`", "c{|}~", "D[]"]
+    each, real = [], WordEncoder._each
+    monkeypatch.setattr(WordEncoder, "_each", lambda self, them: (each.extend(them), real(self, them))[1])
+    t = Tokenizer.from_file(PATH)
+    offsets, ids = WordEncoder(PATH).encode(pa.array([*words, "l'a 3# a-b <|endoftext|>###"]))
+    assert each and not set(each) & {w.lower() for w in words}
+    for i, x in enumerate([*words, "l'a 3# a-b <|endoftext|>###"]):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_pack(spark):
     t = Tokenizer.from_file(PATH)
     rng = random.Random(4)
