@@ -219,14 +219,14 @@ def _components(docs: DataFrame, n: int, percent: int, chunk_chars: int, scratch
         return _reply(key[0].as_py() * -(-(1 << bits) // n_buckets), table)
 
     texts = chunked.groupBy("__chunk")  # used twice with the same columns, so that Spark shuffles them once
-    sent = texts.applyInArrow(send, "bucket int, chunk long, hashes binary, counts binary")
-    replies = sent.groupBy("bucket").applyInArrow(reply, "chunk long, hashes binary, counts binary")
+    sent = texts.applyInArrow(C.tidy_group(send), "bucket int, chunk long, hashes binary, counts binary")
+    replies = sent.groupBy("bucket").applyInArrow(C.tidy_group(reply), "chunk long, hashes binary, counts binary")
 
     def mark(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         return pa.table(_marked(table["id"].combine_chunks(), table["text"].combine_chunks(), told, n, percent, bits))
 
     schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("size long, node string, shared long, items array<long>, parities array<long>, prefix array<long>, freqs array<long>").fields])
-    marked = scratch.store(texts.cogroup(replies.groupBy("chunk")).applyInArrow(mark, schema))
+    marked = scratch.store(texts.cogroup(replies.groupBy("chunk")).applyInArrow(C.tidy_groups(mark), schema))
 
     classes = marked.where("node is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "shared", "items", "parities", "prefix", "freqs")))
     named = scratch.store(classes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()))

@@ -131,7 +131,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: in
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(C.tidy(cut), schema)
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:

@@ -76,7 +76,7 @@ def with_metrics(df: DataFrame, text_col: str) -> DataFrame:
             got = measure(batch.column(batch.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[m].astype(np.int64)) for m in METRICS)], names=[*batch.schema.names, *METRICS])
 
-    return df.mapInArrow(add, T.StructType([*df.schema.fields, *(T.StructField(m, T.LongType()) for m in METRICS)]))
+    return df.mapInArrow(C.tidy(add), T.StructType([*df.schema.fields, *(T.StructField(m, T.LongType()) for m in METRICS)]))
 
 
 def rates() -> dict[str, Column]:

@@ -114,8 +114,8 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str, width: int = 13,
         return packed_by_bucket(key[0].as_py(), h, second, n_buckets)
 
     texts = chunked.groupBy("__chunk")  # used twice with the same columns, so that Spark shuffles them once
-    sent = texts.applyInArrow(send, "bucket int, chunk long, hashes binary")
-    replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk long, hashes binary")
+    sent = texts.applyInArrow(C.tidy_group(send), "bucket int, chunk long, hashes binary")
+    replies = sent.groupBy("bucket").applyInArrow(C.tidy_group(_reply), "chunk long, hashes binary")
 
     def remove(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         table = table.drop_columns(["__chunk"]).combine_chunks()
@@ -140,4 +140,4 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str, width: int = 13,
             table = table.append_column(name, x)
         return table
 
-    return texts.cogroup(replies.groupBy("chunk")).applyInArrow(remove, schema)
+    return texts.cogroup(replies.groupBy("chunk")).applyInArrow(C.tidy_groups(remove), schema)

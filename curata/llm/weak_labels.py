@@ -219,7 +219,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
         for batch in C.small_batches(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array(_patterns(votes(batch.column(0))), pa.string())], names=["votes"])
 
-    counted = df.select(F.col(text_col).alias("text")).mapInArrow(vote, "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(F.col(text_col).alias("text")).mapInArrow(C.tidy(vote), "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
     counts = dict(counted.collect())  # at most 3 ^ len(LABELLERS) rows, far fewer in any corpus
     model = expectation_maximisation(counts)
     posterior = {p: model.posterior(p) for p in counts}
@@ -229,6 +229,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
     top = some.orderBy("__h").limit(2 * sample).toArrow()
     texts = top[text_col].combine_chunks()
     weights = np.zeros((1 << BITS) + 1) if not len(texts) else train_scorer(texts, np.array([posterior.get(p, 0.5) for p in _patterns(votes(texts))]))
+    C.release()
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2 ^ BITS weights
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,4 +239,4 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
             own = [pa.array(s), pa.array(s >= cutoff)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *OWN])
 
-    return df.mapInArrow(add, T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in OWN.items())).fields]))
+    return df.mapInArrow(C.tidy(add), T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in OWN.items())).fields]))
