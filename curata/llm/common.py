@@ -85,6 +85,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int | str, most_byt
             start = stop
 
 
+#: Bytes of rows that a Python worker gets at once, a longer row alone. Spark's own bounds, 10,000 rows or 64 MB, are held
+#: several times by the JVM, beside its heap, and by the worker.
+BATCH_BYTES = 2_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets BATCH_BYTES for the session, whose plans read it when they run; what the session already says stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Memory that is free goes back to the system. A Python worker lives on through later tasks and stages, and what its
     allocators hold counts for its executor."""

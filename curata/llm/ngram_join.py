@@ -204,6 +204,7 @@ def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, n: int
 def _components(docs: DataFrame, n: int, percent: int, chunk_chars: int, scratch: C.Scratch) -> DataFrame:
     """id, size, component, over tables in scratch."""
     spark = docs.sparkSession
+    C.bound_batches(spark)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     # Any deal of the documents will do; a hash of id and text spreads copies.
     n_chunks = max(2 * C.partitions(spark), chars // chunk_chars)

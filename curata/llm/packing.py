@@ -106,7 +106,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
-        for batch in C.small_batches(batches, 1, 8_000_000):
+        for batch in C.small_batches(batches, 1):
             offsets, ids = encoder.encode(batch.column(1))
             n = np.diff(offsets)
             doc, piece, start, length, crc, own = [], [], [], [], [], []
@@ -129,6 +129,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: in
             names = ["id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.list_(pa.int32()))] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
+    C.bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(C.tidy(cut), schema)

@@ -70,6 +70,7 @@ def measure(text: pa.Array) -> dict[str, np.ndarray]:
 def with_metrics(df: DataFrame, text_col: str) -> DataFrame:
     """Adds the METRICS (bigint); input columns of these names are replaced. Null texts count as empty."""
     df = df.drop(*METRICS)
+    C.bound_batches(df.sparkSession)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches, text_col):

@@ -105,6 +105,7 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str, width: int = 13,
     table gives an empty result. Windows are taken for equal if 64 hash bits and the bucket, picked by a second hash, agree.
     """
     df = df.drop(*OWN)
+    C.bound_batches(df.sparkSession)
     chunked, n_chunks = C.with_chunk(df, id_col, text_col, chunk_chars)
     n_buckets = max(2 * C.partitions(df.sparkSession), n_chunks * chunk_chars // 6 // BUCKET_HASHES)
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in OWN.items())).fields])

@@ -214,6 +214,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.5, sam
     """
     df = df.drop(*OWN)
     spark = df.sparkSession
+    C.bound_batches(spark)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches, 0):
